@@ -75,20 +75,21 @@ def written(df: DataFrame, name: str = "t", root: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_by_key(df: DataFrame, key: str, groups: DataFrame, values: list[str], size: str, total: int) -> DataFrame:
+def join_by_key(df: DataFrame, key: str, groups: DataFrame, values: list[str], size: str, total: int, spread: str) -> DataFrame:
     """Left join ``groups`` (one row per key, ``size`` rows of ``df`` each) to ``df``, whatever the skew.
 
     A key with over ``total / MAX_HOT_KEYS`` rows is hot; there are fewer than MAX_HOT_KEYS of them, which
     bounds the broadcast.  Their rows get their values from it and are dealt out by a salted key, so that no task
-    receives a hot group.  All other groups are joined by an ordinary shuffled join.
+    receives a hot group (``spread`` names a column that tells its rows apart).  All other groups are joined by an
+    ordinary shuffled join.
     """
     hot_at = max(1, total // MAX_HOT_KEYS)
     hot = groups.where(F.col(size) > hot_at).select(F.col(key).alias("_hk"), *[F.col(v).alias(f"_h_{v}") for v in values], F.lit(True).alias("_is_hot"))
     cold = groups.where(F.col(size) <= hot_at).select(F.col(key).alias("_ck"), *[F.col(v).alias(f"_c_{v}") for v in values])
     marked = df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    spread = marked.withColumn("_salt", F.when(F.col("_is_hot"), F.rand(7)).otherwise(F.lit(-1.0)))
-    cold = cold.withColumn("_none", F.lit(-1.0))
-    joined = spread.join(cold.hint("merge"), (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_none")), "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_is_hot"), F.xxhash64(spread).bitwiseAND(F.lit(2**62 - 1))).otherwise(F.lit(-1)))
+    cold = cold.withColumn("_none", F.lit(-1).cast("long"))
+    joined = salted.join(cold.hint("merge"), (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_none")), "left")
     return joined.select(*[F.col(c) for c in df.columns], *[F.coalesce(F.col(f"_h_{v}"), F.col(f"_c_{v}")).alias(v) for v in values])
 
 
