@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, simhash
+from . import decontam, langid, simhash, warc
+from .oracles import ORACLE_SQL  # noqa: F401
 from .shared import is_learning, table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.look_up(warc.write(pages), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(is_learning(F.col("doc_id"), 3, 1)))
@@ -28,9 +34,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
 }
-
-ORACLE_SQL: dict[str, str] = {}
