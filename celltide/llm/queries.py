@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, simhash, warc
+from . import bpe, decontam, langid, simhash, warc
 from .oracles import ORACLE_SQL  # noqa: F401
 from .shared import is_learning, table
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.look_up(warc.write(pages), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    made = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(is_learning(F.col("doc_id"), 3, 1)))
@@ -35,6 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_bpe": op2_bpe,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
