@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, simhash, warc
+from . import bpe, chat, decontam, langid, simhash, warc
 from .oracles import ORACLE_SQL  # noqa: F401
 from .shared import is_learning, table
 
@@ -25,6 +25,17 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2, numPartitions=1).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    read = chat.read_back(chat.windows(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("targets", "")
+    return read.select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(is_learning(F.col("doc_id"), 3, 1)))
@@ -44,6 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
+    "op3_chat": op3_chat,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
