@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, simhash, warc
+from . import bpe, chat, decontam, langid, quality_rules, secrets, simhash, warc
 from .oracles import ORACLE_SQL  # noqa: F401
 from .shared import is_learning, table
 
@@ -36,6 +36,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(is_learning(F.col("doc_id"), 3, 1)))
@@ -47,6 +52,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = [r.kind for r in secrets.RULES if r.base]
+    return found.select(
+        "doc_id",
+        *[of_kind(k) for k in base],
+        F.sha2(secrets.listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_rows")
@@ -56,7 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
+    "op5_quality_rules": op5_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
