@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, quality_rules, secrets, simhash, warc
+from . import bpe, chat, decontam, langid, licenses, quality_model, quality_rules, secrets, simhash, warc
 from .oracles import ORACLE_SQL  # noqa: F401
 from .shared import is_learning, table
 
@@ -36,11 +36,23 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learns = is_learning(F.col("doc_id"), 4, 2)
+    scored = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learns)
+    return scored.select("doc_id", (~learns).alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(is_learning(F.col("doc_id"), 3, 1)))
@@ -73,7 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
+    "op4_quality_model": op4_quality_model,
     "op5_quality_rules": op5_quality_rules,
+    "op6_licenses": op6_licenses,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
