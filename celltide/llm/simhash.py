@@ -278,7 +278,10 @@ def _ended(held, dense, at, thresholds, limit, bucket):
 
 
 def dense_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(a, b) links among the distinct fingerprints ``fp``, by meeting at values within half the limit."""
+    """(a, b) links among the distinct fingerprints ``fp``, by meeting at values within half the limit.
+
+    The values are many times the fingerprints, which the planner can't know: the hint keeps it from broadcasting them.
+    """
     half = limit // 2
     odd = limit % 2
 
@@ -294,9 +297,9 @@ def dense_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     sent = fps.select("fp").mapInPandas(spread, "z long, fp long, k byte")
     if odd:  # of two that meet, one went half the way and the other one step more
         near = sent.where(F.col("k") <= half).groupBy("z").agg(F.min("fp").alias("hub"))
-        return sent.join(near, "z").where(F.col("fp") != F.col("hub")).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+        return sent.join(near.hint("merge"), "z").where(F.col("fp") != F.col("hub")).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
     hubs = sent.groupBy("z").agg(F.min("fp").alias("hub"), F.max("fp").alias("far")).where("hub != far").select("z", "hub")
-    return sent.join(hubs, "z").where("fp != hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    return sent.join(hubs.hint("merge"), "z").where("fp != hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 # ---------------------------------------------------------------- components
