@@ -95,21 +95,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     """Learn dictionaries from labelled rows.
 
     A bounded sample, the same for the same rows: per language the ``docs_each`` labelled texts with the least hash of
-    ``order``, ``chars_each`` code points of each, up to ``dict_bytes``.  Rank limits are applied
-    before the shuffle, so that a language with most of the rows sends a few per partition only.
+    ``order``, ``chars_each`` code points of each, up to ``dict_bytes``.
     """
     rows = pick(docs, text=text, lang=lang, order=order).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    at = Window.partitionBy("lang").orderBy("h", "part")
-    sample = (
-        rows.where(F.col("lang").isin(known))
-        .select("lang", F.xxhash64("order").alias("h"), F.substring("text", 1, chars_each).alias("part"))
-        .withColumn("k", F.row_number().over(at))
-        .where(F.col("k") <= docs_each)
-        .collect()
-        if known
-        else []
-    )
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sample = []
+    if known:
+        # a hash under the language's cut leaves about twice the rows wanted, and only these are ranked
+        cuts = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], min(1.0, 2.0 * docs_each / r["count"] + 1e-9))])
+        share = F.shiftrightunsigned(F.xxhash64("order"), 11) / float(1 << 53)
+        rows = rows.withColumn("h", share).where(F.col("h") < F.coalesce(cuts[F.col("lang")], F.lit(0.0)))
+        at = Window.partitionBy("lang").orderBy("h", "part")
+        ranked = rows.select("lang", "h", F.substring("text", 1, chars_each).alias("part")).withColumn("k", F.row_number().over(at))
+        sample = ranked.where(F.col("k") <= docs_each).collect()
     contents: dict[str, bytes] = {}
     seen: set[tuple[str, str]] = set()
     for r in sorted(sample, key=lambda r: (r["lang"], r["k"])):
