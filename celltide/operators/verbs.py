@@ -72,13 +72,9 @@ def _box(store: CellStore, points: DataFrame, bounds: Bounds | None) -> Bounds |
     return bounds.aligned(store.grid.res, store.grid.alignment).shared(store.grid.root)
 
 
-def _ingest(store: CellStore, points: DataFrame, entry: Ingest, box: Bounds | None, parity: bool = False, skip: DataFrame | None = None, mode: str = "append") -> Ingest:
+def _ingest(store: CellStore, points: DataFrame, entry: Ingest, box: Bounds | None, parity: bool = False, mode: str = "append") -> Ingest:
     if box is not None:
-        cells = cells_of(store, points, box, parity)
-        if skip is not None:
-            cells = cells.join(skip, ["xi", "yi"], "left_anti")
-        store.write_cells(cells, entry, mode)
-        written = store.spark.read.parquet(store.slot_path(entry.time_slot))
+        written = store.write_cells(cells_of(store, points, box, parity), entry, mode)
         stats = written.groupBy("tile_x", "tile_y").agg(F.min("X").alias("x1"), F.max("X").alias("x2"), F.min("Y").alias("y1"), F.max("Y").alias("y2"), F.sum("count").alias("n")).collect()
         entry.mbr = sorted([r["x1"], r["x2"] + 1, r["y1"], r["y2"] + 1] for r in stats)
         entry.point_count = sum(r["n"] for r in stats)
@@ -114,8 +110,7 @@ def resume(store: CellStore, points: DataFrame, name: str) -> Ingest:
         inside = (F.col("xi") >= F.col("x1")) & (F.col("xi") < F.col("x2")) & (F.col("yi") >= F.col("y1")) & (F.col("yi") < F.col("y2"))
         # one rectangle per storage tile: their number is that of the slot's folders
         cells = cells.join(F.broadcast(done), inside, "left_anti")
-    store.write_cells(cells, entry)
-    r = store.spark.read.parquet(store.slot_path(entry.time_slot))
+    r = store.write_cells(cells, entry)
     inside = [f"(X >= {a} AND X < {b} AND Y >= {c} AND Y < {d})" for a, b, c, d in kept]
     fresh = r.where("NOT (" + " OR ".join(inside) + ")") if inside else r
     entry.point_count = fresh.agg(F.sum("count")).first()[0] or 0

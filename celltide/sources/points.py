@@ -21,11 +21,11 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def kind_of(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    if name.endswith((".laz", "ept.json")):
+        raise ValueError(f"{path}: compressed clouds need a decompressor that is not installed; convert them to LAS or Parquet")
     for kind in ("parquet", "csv", "json", "las"):
         if name.endswith("." + kind):
             return kind
-    if name.endswith((".copc.laz", ".laz", "ept.json")):
-        raise ValueError(f"{path}: compressed clouds need a decompressor that is not installed; convert them to LAS or Parquet")
     return "parquet"
 
 

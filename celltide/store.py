@@ -229,11 +229,12 @@ class CellStore:
     def slot_path(self, slot: int) -> str:
         return f"{self.path}/cells/time_slot={slot}"
 
-    def write_cells(self, cells: DataFrame, entry: Ingest, mode: str = "append") -> None:
-        """Write cells keyed by xi and yi, stamped with the ingest's slot, days and time."""
+    def write_cells(self, cells: DataFrame, entry: Ingest, mode: str = "append") -> DataFrame:
+        """Write cells keyed by xi and yi, stamped with the ingest's slot, days and time; what the slot holds then."""
         out = self._stamped(cells, entry)
         # cells of a tile that many tasks hold are brought together first, so that a tile is few files; rebalancing splits large tiles
         out.hint("rebalance", F.col("tile_x"), F.col("tile_y")).write.mode(mode).option("compression", "zstd").partitionBy("tile_x", "tile_y").parquet(self.slot_path(entry.time_slot))
+        return self.spark.read.schema(out.schema).parquet(self.slot_path(entry.time_slot))
 
     def _stamped(self, cells: DataFrame, entry: Ingest) -> DataFrame:
         c = self.config
@@ -249,7 +250,7 @@ class CellStore:
 
     def all_cells(self, extents: Extents | None = None, before_ms: int | None = None, since_ms: int | None = None, columns: list[str] | None = None) -> DataFrame | None:
         """Every version of the cells in a box, pruned by slot, tile and index; None if nothing was written."""
-        slots = [n for n in self.files.names("cells") if n.startswith("time_slot=")]
+        slots = [n for n in self.files.names("cells") if n.startswith("time_slot=") and any(t.startswith("tile_x=") for t in self.files.names(f"cells/{n}"))]
         if not slots:
             return None
         df = self.spark.read.option("basePath", f"{self.path}/cells").option("mergeSchema", "false").parquet(*[f"{self.path}/cells/{s}" for s in slots])
