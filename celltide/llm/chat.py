@@ -31,6 +31,8 @@ BUDGET = 1024
 HISTORY = 128
 #: Tokens that the template adds to a turn.
 OVERHEAD = 4
+#: What a token is taken to be, here: a word or a single mark.
+PIECES = r"[\p{L}\p{N}_]+|[^\x20\x09-\x0D\p{L}\p{N}_]"
 SYSTEM, ASSISTANT = "system", "assistant"
 
 
@@ -49,7 +51,7 @@ def unescaped(text: Column) -> Column:
 
 def cost(text: Column) -> Column:
     """Words and single marks of a text, and the template's share."""
-    return (F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]")) + OVERHEAD).cast("long")
+    return (F.regexp_count(text, F.lit(PIECES)) + OVERHEAD).cast("long")
 
 
 def _bind(value: Column, use) -> Column:
