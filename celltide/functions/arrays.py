@@ -70,19 +70,16 @@ def histogram_mode(a: Column, bins: int = 64) -> Column:
     step = (high - low) / bins
     edge = lambda k: F.when(k == bins, high).otherwise(low + k * step)
 
-    def bin_of(v: Column) -> Column:
-        first = F.least(F.floor((v - low) * (bins / (high - low))).cast("int"), F.lit(bins - 1))
-        return bind(first, lambda k: F.when(v < edge(k), k - 1).when((v >= edge(k + 1)) & (k < bins - 1), k + 1).otherwise(k))
-
-    start = F.struct(F.lit(-1).alias("k"), F.lit(0).alias("n"), F.lit(-1).alias("best"), F.lit(0).alias("most"))
+    def corrected(v: Column, k: Column) -> Column:
+        return F.when(v < edge(k), k - 1).when((v >= edge(k + 1)) & (k < bins - 1), k + 1).otherwise(k)
 
     def count(s: Column, k: Column) -> Column:
-        return bind(
-            F.when(k == s["k"], s["n"] + 1).otherwise(F.lit(1)),
-            lambda n: F.struct(k.alias("k"), n.alias("n"), F.when(n > s["most"], k).otherwise(s["best"]).alias("best"), F.greatest(n, s["most"]).alias("most")),
-        )
+        n = F.when(k == s["k"], s["n"] + 1).otherwise(F.lit(1))
+        return F.struct(k.alias("k"), n.alias("n"), F.when(n > s["most"], k).otherwise(s["best"]).alias("best"), F.greatest(n, s["most"]).alias("most"))
 
-    best = F.aggregate(F.transform(a, bin_of), start, count, lambda s: s["best"])
+    start = F.struct(F.lit(-1).alias("k"), F.lit(0).alias("n"), F.lit(-1).alias("best"), F.lit(0).alias("most"))
+    near = F.transform(a, lambda v: F.least(F.floor((v - low) * (bins / (high - low))).cast("int"), F.lit(bins - 1)))
+    best = F.aggregate(F.zip_with(a, near, corrected), start, count, lambda s: s["best"])
     return F.when(F.size(a) == 0, F.lit(None)).when(low == high, low).otherwise(low + best * step)
 
 

@@ -100,6 +100,10 @@ class Plan:
         """Cells with one column per metric and attribute; ``extra`` aggregates ride along in stage 1."""
         extra = extra or []
         first = [c.alias(n) for n, c in self.first.items()] + extra or [F.count("*").alias("_n")]
+        if self.arrays:
+            # collected values gain nothing from partial aggregation, and the work on them follows the shuffle: a count of
+            # partitions given here is kept, where small shuffled bytes would have them coalesced to few tasks
+            points = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
         cells = points.groupBy(*keys).agg(*first)
         for level in self.levels:
             cells = cells.withColumns({name: self._expression(node, args) for name, node, args in level})
