@@ -1,7 +1,7 @@
 """Weak supervision of quality rules, with DataFrame functions only.
 
 Each rule votes for or against a document, or abstains.  Votes are counted by pattern over all documents; there are
-3^rules patterns at most (59,049), whatever the number of documents.  Expectation-maximisation over these
+3^rules patterns at most (2,187), whatever the number of documents.  Expectation-maximisation over these
 counts estimates how often each rule votes either way for good and for bad documents, and the share of
 good ones.  A document's posterior probability to be good, under these rates, takes the place of a filter that
 all rules must pass.
@@ -29,20 +29,21 @@ THRESHOLD = 0.5
 ROUNDS = 200
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
-#: (name, value, votes for if, votes against if); a rule that neither holds for abstains.
+#: What is asked of a rule: it votes against this share of good documents at most, and against this share of bad ones at least.
+FALSE_ALARMS, CATCHES = 0.005, 0.02
+
+#: (name, value, votes for if, votes against if); a rule that neither holds for abstains.  Each looks for a fault of its own:
+#: rules that see the same fault would outvote the others.
 RULES: list[tuple[str, str, str, str]] = [
-    ("symbols", "n_symbols / greatest(word_chars, 1)", "v < 0.01", "v > 0.04"),
-    ("repeats", "n_repeat_words / greatest(n_words, 1)", "v < 0.10 AND n_words >= 20", "v > 0.30"),
-    ("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", "v < 0.10 AND n_lines >= 3", "v > 0.30"),
-    ("capitals", "n_upper / greatest(word_chars, 1)", "v < 0.15", "v > 0.40"),
-    ("exclamations", "n_exclaims / greatest(n_words, 1)", "v < 0.02", "v > 0.20"),
-    ("short_words", "n_short / greatest(n_words, 1)", "v BETWEEN 0.15 AND 0.70", "v < 0.05 OR v > 0.95"),
-    ("word_length", "word_chars / greatest(n_words, 1)", "v BETWEEN 3 AND 9", "v < 2 OR v > 12"),
-    ("distinct_words", "n_distinct / greatest(n_words, 1)", "v > 0.35 AND n_words >= 20", "v < 0.15"),
-    ("sentences", "n_stops / greatest(n_words, 1)", "v BETWEEN 0.02 AND 0.25", "v < 0.002 AND n_words >= 50 OR v > 0.6"),
+    ("markup", "n_symbols / greatest(word_chars, 1)", "v < 0.01", "v > 0.04"),
+    ("repetition", "n_repeat_words / greatest(n_words, 1)", "v < 0.10 AND n_words >= 20", "v > 0.30"),
+    ("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", "v < 0.10 AND n_lines >= 3", "v > 0.30 AND n_lines >= 10 AND n_repeat_words < 0.1 * n_words"),
+    ("shouting", "greatest(n_upper / greatest(word_chars, 1), n_exclaims / greatest(n_words, 1))", "v < 0.15", "v > 0.40"),
+    ("function_words", "n_short / greatest(n_words, 1)", "v BETWEEN 0.15 AND 0.70", "v > 0.95"),
+    ("word_length", "word_chars / greatest(n_words, 1)", "v BETWEEN 3 AND 9", "v < 2 OR v > 14"),
+    ("sentences", "n_stops / greatest(n_words, 1)", "v BETWEEN 0.02 AND 0.25 AND n_repeat_words < 0.1 * n_words", "v > 0.8 AND n_exclaims < 0.1 * n_words"),
 ]
 
-
 def _bind(value: Column, use) -> Column:
     """Use a value more than once while it is worked out once."""
     return F.transform(F.array(value), use)[0]
@@ -117,16 +118,15 @@ class Accuracies:
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = ROUNDS) -> Accuracies:
-    """Expectation-maximisation over counted vote patterns, from the majority of the votes.
+    """Expectation-maximisation over counted vote patterns.
 
-    Abstaining says nothing about a document; each rate has one document's worth of a rule that is right four times in five.
+    Rules watch for different faults, so most of them vote for a document that one of them rightly votes against.  The first
+    beliefs follow from that: one vote against counts for more than any number for.  Abstaining says nothing.  Rates are held to
+    what is asked of rules (FALSE_ALARMS and CATCHES), so that a frequent fault is not taken for a habit of good documents.
     """
     if not patterns:
-        return Accuracies(0.5, {n: ((0.8, 0.2, 0.0), (0.2, 0.8, 0.0)) for n in names})
-    belief = []
-    for pattern, _ in patterns:
-        good, bad = pattern.count(GOOD), pattern.count(BAD)
-        belief.append((good + 1) / (good + 2 * bad + 2))
+        return Accuracies(0.5, {n: ((0.3, 0.7, 0.0), (FALSE_ALARMS, 1 - FALSE_ALARMS, 0.0)) for n in names})
+    belief = [0.9 if BAD not in pattern and GOOD in pattern else 0.5 if BAD not in pattern else 0.1 ** pattern.count(BAD) for pattern, _ in patterns]
     prior, rates = 0.5, {}
     for _ in range(rounds):
         total = sum(c for _, c in patterns)
@@ -136,24 +136,28 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
         for k, name in enumerate(names):
             both = []
             for of_good in (False, True):
-                got = [0.2, 0.8] if of_good else [0.8, 0.2]
+                got = [0.01, 0.99] if of_good else [0.3, 0.7]
                 for b, (pattern, c) in zip(belief, patterns):
                     if pattern[k] != ABSTAIN:
                         got[pattern[k]] += c * (b if of_good else 1 - b)
-                both.append((got[BAD] / sum(got), got[GOOD] / sum(got), 0.0))
+                against = got[BAD] / sum(got)
+                against = min(against, FALSE_ALARMS) if of_good else max(against, CATCHES)
+                both.append((against, 1 - against, 0.0))
             rates[name] = tuple(both)
-        belief = []
-        for pattern, _ in patterns:
-            odds = math.log(prior / (1 - prior))
-            for k, name in enumerate(names):
-                if pattern[k] != ABSTAIN:
-                    odds += math.log(rates[name][1][pattern[k]] / rates[name][0][pattern[k]])
-            belief.append(1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))))
+        belief = [_belief(pattern, prior, rates, names) for pattern, _ in patterns]
         if abs(prior - before) < 1e-9:
             break
     return Accuracies(prior, rates)
 
 
+def _belief(pattern: tuple[int, ...], prior: float, rates: dict, names: list[str]) -> float:
+    odds = math.log(prior / (1 - prior))
+    for k, name in enumerate(names):
+        if pattern[k] != ABSTAIN:
+            odds += math.log(rates[name][1][pattern[k]] / rates[name][0][pattern[k]])
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 

@@ -42,15 +42,24 @@ def test_table(spark, sf_dir):
     assert sum(int(a) == b for a, b in judged) >= 0.9 * len(judged)
 
 
-def test_estimates_find_the_better_rule():
-    """Of three rules that vote on 4,000 documents, the one that is always right is trusted most."""
+def test_estimates_of_separate_faults():
+    """Three faults that each one rule sees, at a half, a third and a sixth of the bad documents."""
     counts = collections.Counter()
-    for i in range(4000):
-        good = i % 4 > 0
-        counts[(int(good), int(good) if i % 7 else int(not good), int(good) if i % 5 else int(not good))] += 1
-    found = q.estimate(sorted(counts.items()), ["a", "b", "c"])
-    trust = {n: good[1] - bad[1] for n, (bad, good) in found.rates.items()}
-    assert trust["a"] > trust["b"] > trust["c"] > 0.4 and abs(found.prior - 0.75) < 0.05
+    for i in range(4800):
+        fault = None if i % 4 else "aaabbc"[i // 4 % 6]
+        counts[tuple(int(fault != n) for n in "abc")] += 1
+    found = q.estimate(sorted(counts.items()), list("abc"))
+    catches = {n: bad[0] for n, (bad, good) in found.rates.items()}
+    assert catches["a"] > catches["b"] > catches["c"] > 0.1 and abs(found.prior - 0.75) < 0.05
+    assert all((q._belief(p, found.prior, found.rates, list("abc")) > 0.5) == (0 not in p) for p in counts)
+
+
+def test_labelled_documents(spark):
+    """Junk of every kind goes and clean documents stay, though the rules see no labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = q.judge(docs).where("NOT base_failed").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    good, bad = [r.kept for r in out if r.quality == 1], [r.kept for r in out if r.quality == 0]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad) and bad
 
 
 def test_empty_and_extra(spark):
