@@ -31,6 +31,8 @@ GOOD, BAD, ABSTAIN = 1, 0, 2
 
 #: What is asked of a rule: it votes against this share of good documents at most, and against this share of bad ones at least.
 FALSE_ALARMS, CATCHES = 0.005, 0.02
+#: The share of bad documents that no rule speaks against, though some vote.
+MISSED = 0.05
 
 #: (name, value, votes for if, votes against if); a rule that neither holds for abstains.  Each looks for a fault of its own:
 #: rules that see the same fault would outvote the others.
@@ -111,18 +113,20 @@ class Accuracies:
     def posterior(self) -> Column:
         """The probability that a document is good, from its vote columns."""
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, (bad, good) in self.rates.items():
-            v = F.col(f"v_{name}")
-            odds = odds + F.when(v == GOOD, math.log(good[GOOD] / bad[GOOD])).when(v == BAD, math.log(good[BAD] / bad[BAD])).otherwise(0.0)
+        votes = [F.col(f"v_{name}") for name in self.rates]
+        for v, (bad, good) in zip(votes, self.rates.values()):
+            odds = odds + F.when(v == BAD, math.log(good[BAD] / bad[BAD])).otherwise(0.0)
+        odds = odds - F.when((F.least(*votes) != BAD) & (F.least(*votes) == GOOD), math.log(MISSED)).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = ROUNDS) -> Accuracies:
     """Expectation-maximisation over counted vote patterns.
 
-    Rules watch for different faults, so most of them vote for a document that one of them rightly votes against.  The first
-    beliefs follow from that: one vote against counts for more than any number for.  Abstaining says nothing.  Rates are held to
-    what is asked of rules (FALSE_ALARMS and CATCHES), so that a frequent fault is not taken for a habit of good documents.
+    Rules watch for separate faults: a bad document has one, most rules find nothing to say against it, and their votes for it
+    prove little.  So in a bad document each vote against has its rule's rate, and votes for count as one: that no rule speaks
+    against it has the chance MISSED.  In a good one each vote against is a false alarm, and votes for are what is expected.
+    Rates are held to what is asked of rules (FALSE_ALARMS and CATCHES).  The first beliefs are that a vote against is right.
     """
     if not patterns:
         return Accuracies(0.5, {n: ((0.3, 0.7, 0.0), (FALSE_ALARMS, 1 - FALSE_ALARMS, 0.0)) for n in names})
@@ -132,18 +136,16 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
         total = sum(c for _, c in patterns)
         before = prior
         prior = min(0.999, max(0.001, (sum(b * c for b, (_, c) in zip(belief, patterns)) + 1) / (total + 2)))
-        rates = {}
-        for k, name in enumerate(names):
-            both = []
-            for of_good in (False, True):
+        against = {True: [], False: []}
+        for k in range(len(names)):
+            for of_good, found in against.items():
                 got = [0.01, 0.99] if of_good else [0.3, 0.7]
                 for b, (pattern, c) in zip(belief, patterns):
                     if pattern[k] != ABSTAIN:
                         got[pattern[k]] += c * (b if of_good else 1 - b)
-                against = got[BAD] / sum(got)
-                against = min(against, FALSE_ALARMS) if of_good else max(against, CATCHES)
-                both.append((against, 1 - against, 0.0))
-            rates[name] = tuple(both)
+                share = got[BAD] / sum(got)
+                found.append(min(share, FALSE_ALARMS) if of_good else max(share, CATCHES))
+        rates = {n: tuple((against[g][k], 1 - against[g][k], 0.0) for g in (False, True)) for k, n in enumerate(names)}
         belief = [_belief(pattern, prior, rates, names) for pattern, _ in patterns]
         if abs(prior - before) < 1e-9:
             break
@@ -153,8 +155,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
 def _belief(pattern: tuple[int, ...], prior: float, rates: dict, names: list[str]) -> float:
     odds = math.log(prior / (1 - prior))
     for k, name in enumerate(names):
-        if pattern[k] != ABSTAIN:
-            odds += math.log(rates[name][1][pattern[k]] / rates[name][0][pattern[k]])
+        if pattern[k] == BAD:
+            odds += math.log(rates[name][1][BAD] / rates[name][0][BAD])
+    if BAD not in pattern and GOOD in pattern:
+        odds -= math.log(MISSED)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
