@@ -104,15 +104,11 @@ def resume(store: CellStore, points: DataFrame, name: str) -> Ingest:
     if box is None:
         return entry
     kept = [list(r) for r in entry.mbr]
-    cells = cells_of(store, points, box)
-    if kept:
-        done = store.spark.createDataFrame(kept, "x1 int, x2 int, y1 int, y2 int")
-        inside = (F.col("xi") >= F.col("x1")) & (F.col("xi") < F.col("x2")) & (F.col("yi") >= F.col("y1")) & (F.col("yi") < F.col("y2"))
-        # one rectangle per storage tile: their number is that of the slot's folders
-        cells = cells.join(F.broadcast(done), inside, "left_anti")
-    r = store.write_cells(cells, entry)
-    inside = [f"(X >= {a} AND X < {b} AND Y >= {c} AND Y < {d})" for a, b, c, d in kept]
-    fresh = r.where("NOT (" + " OR ".join(inside) + ")") if inside else r
+    # one rectangle per storage tile: their number is that of the slot's folders, which bounds the broadcast
+    done = F.broadcast(store.spark.createDataFrame(kept, "x1 int, x2 int, y1 int, y2 int"))
+    inside = lambda x, y: (F.col(x) >= F.col("x1")) & (F.col(x) < F.col("x2")) & (F.col(y) >= F.col("y1")) & (F.col(y) < F.col("y2"))
+    cells = cells_of(store, points, box).join(done, inside("xi", "yi"), "left_anti")
+    fresh = store.write_cells(cells, entry).join(done, inside("X", "Y"), "left_anti")
     entry.point_count = fresh.agg(F.sum("count")).first()[0] or 0
     entry.mbr = kept + [[x["a"], x["b"] + 1, x["c"], x["d"] + 1] for x in fresh.groupBy("tile_x", "tile_y").agg(F.min("X").alias("a"), F.max("X").alias("b"), F.min("Y").alias("c"), F.max("Y").alias("d")).collect()]
     entry.finished, entry.written_to = True, int(time.time() * 1000)
