@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .shared import pick
 
 #: Words whose ids a Python worker remembers, twice as many at most, and arcs that it has looked up.
-CACHE_WORDS = 300_000
-CACHE_ARCS = 1 << 19
+CACHE_WORDS = 120_000
+CACHE_ARCS = 1 << 17
 RESULT = "ids binary, decoded string"
 
 #: Texts of these characters only (Latin letters with accents, common punctuation and currency signs) are split here, by

@@ -9,6 +9,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to a Python worker at once, where the session asks for no number of its own.  Spark's 10,000 rows of
+#: long texts, with what is made of them, would take hundreds of megabytes a worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Most keys that may count as hot, and so the most rows that a broadcast of hot keys can hold.
 MAX_HOT_KEYS = 256
 
@@ -21,8 +26,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Select columns by name under new names, whatever other columns are called.
 
     An exact match wins over one that differs in case, and the first over later ones, so that tables
-    with clashing names (``text`` beside ``Text``, or two columns ``text``) are read without ambiguity.
+    with clashing names (``text`` beside ``Text``, or two columns ``text``) are read without ambiguity.  All operators
+    read their input here, so the session's batches are made small here too.
     """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
     names = df.columns
     flat = df.toDF(*[f"c{i}" for i in range(len(names))])
     out = []
