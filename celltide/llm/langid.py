@@ -30,9 +30,10 @@ CHARS_EACH = 1000
 DOCS_EACH = 400
 #: Languages learned at most: the most frequent ones.
 MAX_LANGUAGES = 256
-LEVEL = 5
+#: Texts of fewer bytes than SHORT take a level that finds matches of a few letters too: there each byte counts.
+LEVEL, SHORT_LEVEL, SHORT = 5, 12, 256
 #: A document is rejected if the runner-up needs less than this share of bytes more.
-MIN_MARGIN = 0.002
+MIN_MARGIN = 0.001
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -65,16 +66,19 @@ class LanguageModel:
 _READY: dict[tuple, list] = {}
 
 
-def _coders(contents: dict[str, bytes], level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
-    """Compressors with digested dictionaries, made once per Python worker."""
+def _coders(contents: dict[str, bytes], level: int) -> list[tuple[str, tuple[zstandard.ZstdCompressor, ...]]]:
+    """Compressors with digested dictionaries, for short and for other texts, made once per Python worker."""
     key = (level, *((k, hash(v)) for k, v in sorted(contents.items())))
     if key not in _READY:
         _READY.clear()
         made = []
         for lang, raw in sorted(contents.items()):
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            made.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            pair = []
+            for of_level in (SHORT_LEVEL, level):
+                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=of_level)
+                pair.append(zstandard.ZstdCompressor(level=of_level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            made.append((lang, tuple(pair)))
         _READY[key] = made
     return _READY[key]
 
@@ -83,7 +87,8 @@ def judge(text: str | None, coders, min_margin: float) -> tuple[str, float, floa
     if not text or not coders or not _LETTER.search(text):
         return UNKNOWN, 0.0, 0.0, True
     data = normalised(text)
-    sizes = sorted((len(c.compress(data)), lang) for lang, c in coders)
+    which = 0 if len(data) < SHORT else 1
+    sizes = sorted((len(c[which].compress(data)), lang) for lang, c in coders)
     best = sizes[0]
     if len(sizes) == 1:
         return best[1], 1.0, 1.0, False
