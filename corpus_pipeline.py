@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = simhash.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id").where(F.col("_id").eqNullSafe(F.col("component_id")))
     # rows that share the smallest doc_id, or a group without ids, are still one document: one row of each stays
     kept = written(groups.groupBy("_id").agg(F.count("*").alias("_n")), "kept")
-    same = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
+    same = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     single = same.where("_n = 1").select(*COLUMNS)
     if not kept.where("_n > 1").head(1):  # ids are unique: the texts go through one join only
         return single
