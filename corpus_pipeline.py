@@ -3,7 +3,7 @@
 1. ``language``: documents whose language is rejected (no letter, or two languages encode them alike) go;
    dictionaries are learned from the stage's own rows, those that the language query learns from.
 2. ``near_duplicates``: of each group of near copies the document with the smallest doc_id stays.
-3. ``benchmark``: documents with passages of two benchmark items or more go.
+3. ``benchmark``: documents with a passage of any benchmark item go (a run of eight words, or a shorter item whole).
 4. ``secrets``: secrets in texts are replaced by a mark; all documents stay, and n_chars follows the text.
 5. ``encode``: documents are encoded and decoded; returns doc_id, n_tokens, the packed ids and the decoded text's digest.
 
@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.Benchmark(table(spark, sf_dir, "benchmark")).with_hits(_documents(docs), "text", "_found")
-    return found.where(F.size(F.col("_found.items")) < decontam.MIN_ITEMS).select(*COLUMNS)
+    return found.where(F.size(F.col("_found.items")) == 0).select(*COLUMNS)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
