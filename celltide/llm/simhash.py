@@ -46,17 +46,18 @@ CHUNK = 1 << 15
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit integer."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return 0
-    n = max(1, len(words) - k + 1)
-    counts = np.zeros(BITS, np.int64)
+    n = max(1, len(words) - k + 1) if words else 0
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, CHUNK):
-        m = min(CHUNK, n - at)
-        part = words[at : at + m + k - 1]
-        h = np.fromiter((digest(b" ".join(part[i : i + k]), SEED) for i in range(m)), np.dtype("<u8"), m)
-        counts += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+    return majority(np.fromiter((digest(b" ".join(words[i : i + k]), SEED) for i in range(n)), np.dtype("<u8"), n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK]
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -305,13 +306,13 @@ def dense_links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, root: str) -> DataFrame:
+def components(links: DataFrame, root: str) -> DataFrame:
     """(node, label): the least node of each node's component, by alternating large-star and small-star rounds.
 
     Every round is written to the shared folder.  Minima are aggregated before the shuffle and joined back
     from a written table, so that the join of a hub with many neighbours can be split.
     """
-    now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges0", root)
+    now = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges0", root)
     before = None
     for k in range(1, 100):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -330,18 +331,24 @@ def components(edges: DataFrame, root: str) -> DataFrame:
     raise RuntimeError("components did not converge in 100 rounds")
 
 
+def edges(groups: DataFrame, root: str, limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links among the distinct fingerprints ``fp`` that have the components of "within the limit"."""
+    n, together = bit_statistics(groups)
+    found = written(links(groups, plan(n, together, limit), limit, bucket), "links", root)
+    out = found.where("b is not null")
+    dense = written(found.where("b is null").select(F.col("a").alias("fp")).distinct(), "dense", root)
+    if dense.head(1):
+        out = out.unionByName(dense_links(dense, limit))
+    return out
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id, component_rows) for every row."""
     root = scratch_root(docs.sparkSession)
     rows = written(fingerprints(docs, doc_id, text, shingle), "rows", root)
     groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")), "groups", root)
-    n, together = bit_statistics(groups)
-    found = written(links(groups, plan(n, together, limit), limit, bucket), "links", root)
-    edges = found.where("b is not null")
-    dense = written(found.where("b is null").select(F.col("a").alias("fp")).distinct(), "dense", root)
-    if dense.head(1):
-        edges = edges.unionByName(dense_links(dense, limit))
-    labels = components(edges, root)
+    n = groups.count()
+    labels = components(edges(groups, root, limit, bucket), root)
     labelled = groups.join(labels, groups["fp"] == labels["node"], "left").select("fp", "lo", "n", F.coalesce("label", "fp").alias("label"))
     labelled = written(labelled, "labelled", root)
     whole = written(labelled.groupBy("label").agg(F.min("lo").alias("component_id"), F.sum("n").alias("component_rows"), F.count("*").alias("size")), "whole", root)

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline as cp
 import pytest
 from celltide.llm import near_copies
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -34,7 +35,7 @@ def brute(rows):
 
 
 def run(spark, rows):
-    out = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
     return sorted((tuple(r) for r in out), key=repr)
 
 
@@ -88,26 +89,39 @@ def test_the_stage_links_by_jaccard(spark):
     assert kept == sorted(k for k, v in least.items() if k == v) == [0, 3]
 
 
-def test_runs_over_several_batches():
+def test_rows_without_an_id_of_their_own_stay(spark):
+    """Null and repeated ids: unrelated texts are kept, near copies go, of equal rows one stays."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (5, text(5)), (6, text(4) + " end"), (None, text(5)), (None, text(1))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id, r.text[:2]) for r in cp.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert kept == [(5, "t4"), (5, "t5"), (None, "t1"), (None, "t2"), (None, "t3")]
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, 0.5), (2, "A  b c", 8, 0.5), (3, None, 9, None)], "doc_id long, text string, component_id int, Text double")
+    assert sorted(tuple(r) for r in near_copies.groups(docs).select("doc_id", "component_id").collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_sketches_bound_the_shingles_that_differ(spark):
     import numpy as np
-    import pandas as pd
-
-    rng = np.random.default_rng(2)
-    s = np.sort(rng.integers(0, 30, 200))
-    rows = pd.DataFrame({"s": s, "sig": np.arange(200), "n": np.int32(10), "i": np.int32(0)})
-    for step in (1, 7, 200):
-        out = pd.concat(near_copies.meet(rows.iloc[k : k + step] for k in range(0, 200, step)))
-        firsts = rows.groupby("s")["sig"].min()
-        assert sorted(out["sig"]) == sorted(set(rows["sig"]) - set(firsts))
-        assert (out["hub"].to_numpy() == firsts[out["s"]].to_numpy()).all()
-        sizes = rows.groupby("s").size()
-        assert out["more"].to_numpy()[(sizes[out["s"]] > 2).to_numpy()].all()
-    labelled = rows.assign(label=rows["sig"] // 2)
-    expected = {(a, b) for a in range(200) for b in range(a + 1, 200) if s[a] == s[b] and a // 2 != b // 2}
-    for step in (1, 7, 200):
-        out = pd.concat(near_copies.across(labelled.iloc[k : k + step] for k in range(0, 200, step)))
-        assert set(zip(out["a"], out["b"])) == expected
-    assert list(near_copies.meet(iter([]))) == list(near_copies.across(iter([]))) == []
+
+    rng = np.random.default_rng(3)
+    rows, least = [], []
+    for n, m in ((3, 4), (100, 120), (500, 520), (1000, 1030), (2000, 2100), (0, 1)):
+        all_of = np.unique(rng.integers(-(2**63), 2**63 - 1, n + m))
+        a, b = all_of[:n], all_of[n // 5 : n // 5 + m]
+        rows.append((near_copies.sketch(a).tolist(), near_copies.sketch(b).tolist()))
+        least.append(len(np.setxor1d(a, b)))
+    out = spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_copies._differ("a", "b").alias("d")).collect()
+    assert all(0 < r.d <= x for r, x in zip(out, least)) and out[3].d > least[3] // 4
+
+
+def test_members_are_never_missed(spark):
+    some = spark.range(0, 3000, 7).select(F.xxhash64("id").alias("x"))
+    found = near_copies.Members(some, "x")
+    assert some.where(found.may_have(some["x"])).count() == some.count()
+    assert some.where(near_copies.Members(some.limit(0), "x").may_have(some["x"])).count() == 0
 
 
 def test_empty(spark):

@@ -6,8 +6,9 @@ from tokenizers import Tokenizer as Library
 
 import corpus_pipeline as cp
 from celltide.llm import decontam, langid
+from test_near_copies import brute as near_brute
 from test_secrets import plain as plain_spans
-from test_simhash import plain_fingerprint
+
 
 
 def test_is_registered():
@@ -23,22 +24,8 @@ def brute(spark, sf_dir):
     model = langid.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").where(cp.is_learning(cp.F.col("doc_id"), 3, 1)))
     coders = langid._coders(model.contents, model.level)
     docs = [d for d in docs if not langid.judge(d[1], coders, langid.MIN_MARGIN)[3]]
-    fps = [plain_fingerprint(d[1]) for d in docs]
-    root = list(range(len(docs)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(docs)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
-                root[find(i)] = find(j)
-    least = {}
-    for i, d in enumerate(docs):
-        least[find(i)] = min(least.get(find(i), d[0]), d[0])
-    docs = [d for i, d in enumerate(docs) if least[find(i)] == d[0]]
+    least = dict(near_brute([d[:2] for d in docs]))
+    docs = [d for d in docs if least[d[0]] == d[0]]
     tests = {}
     for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
         words = decontam.words_of(r.text)
@@ -51,7 +38,7 @@ def brute(spark, sf_dir):
         for m in {len(t) for t in tests}:
             for k in range(len(words) - m + 1):
                 items |= tests.get(tuple(words[k : k + m]), set())
-        if len(items) < 2:
+        if not items:
             kept.append(d)
     library = Library.from_file(cp.VOCABULARY)
     out = {}
