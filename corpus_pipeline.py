@@ -3,7 +3,7 @@
 1. ``language``: documents whose language is rejected (no letter, or two languages encode them alike) go;
    dictionaries are learned from the stage's own rows, those that the language query learns from.
 2. ``near_duplicates``: of each group of near copies (Jaccard of five-word shingles 0.8 or more, and what such pairs
-   connect) the document with the smallest doc_id stays.
+   connect) the document with the smallest doc_id stays.  SimHash proposes candidates, an exact join adds what it misses.
 3. ``benchmark``: documents with a passage of any benchmark item go (a run of eight words, or a shorter item whole).
 4. ``secrets``: secrets in texts are replaced by a mark; all documents stay, and n_chars follows the text.
 5. ``encode``: documents are encoded and decoded; returns doc_id, n_tokens, the packed ids and the decoded text's digest.
@@ -37,15 +37,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _documents(docs)
-    groups = near_copies.groups(docs).select(F.col("doc_id").alias("_id"), "component_id").where(F.col("_id").eqNullSafe(F.col("component_id")))
-    # rows that share the smallest doc_id, or a group without ids, are still one document: one row of each stays
-    kept = written(groups.groupBy("_id").agg(F.count("*").alias("_n")), "kept")
-    same = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    single = same.where("_n = 1").select(*COLUMNS)
-    if not kept.where("_n > 1").head(1):  # ids are unique: the texts go through one join only
-        return single
-    return single.unionByName(same.where("_n > 1").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    """Of each group of near copies the row with the smallest doc_id (rows without one come last); see ``near_copies``."""
+    return near_copies.firsts(_documents(docs)).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
