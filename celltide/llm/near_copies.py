@@ -135,7 +135,9 @@ class Members:
 
 def verified(docs: DataFrame, each: DataFrame, pairs: DataFrame, name: str, root: str) -> DataFrame:
     """Those of the pairs (a, b) of signatures that are near copies."""
-    of = lambda x: each.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"), F.col("bits").alias(f"bits{x}"))
+    pairs = written(pairs, f"{name}_pairs", root)
+    some = each.where(Members(pairs.select(F.explode(F.array("a", "b")).alias("sig")), "sig").may_have(F.col("sig")))
+    of = lambda x: some.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"), F.col("bits").alias(f"bits{x}"))
     both = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
     # at a Jaccard of NEAR / OF, the shingles of one set only are that share of all of both
     near = (OF * F.col("na") >= NEAR * F.col("nb")) & (OF * F.col("nb") >= NEAR * F.col("na"))
@@ -230,9 +232,14 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return pd.DataFrame(out, columns=["sig", "n", "fp", "bits", "sent"])
 
     rows = written(docs.select("doc_id", "k", "t", of("text").alias("f")).select("doc_id", "k", "t", "f.*"), "rows", root)
+    # only sets that several rows have go through a shuffle
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "t")
-    each = rows.groupBy("sig").agg(F.min(key).alias("lo"), F.count("*").alias("rows"), F.first(F.struct("k", "n", "fp", "bits", "sent")).alias("f"))
-    each = written(each.select("sig", "lo", "rows", "f.*"), "each", root)
+    again = written(rows.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig"), "again", root)
+    rows = rows.withColumn("_hit", Members(again, "sig").may_have(F.col("sig")))
+    shape = F.struct("k", "n", "fp", "bits", "sent")
+    alone = rows.where("not _hit").select("sig", key.alias("lo"), F.lit(1).cast("long").alias("rows"), shape.alias("f"))
+    met = rows.where("_hit").groupBy("sig").agg(F.min(key).alias("lo"), F.count("*").alias("rows"), F.first(shape).alias("f"))
+    each = written(alone.unionByName(met).select("sig", "lo", "rows", "f.*"), "each", root)
     met = _met(each, root)
     hubs = met.where((F.col("sig") != F.col("hub")) & _first_met("n", "i", "hn", "hi")).select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b"))
     found = verified(docs, each, hubs.unionByName(_proposed(each, root)).distinct(), "near", root)

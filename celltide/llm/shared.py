@@ -5,15 +5,22 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that go to a Python worker at once, where the session asks for no number of its own.  Spark's 10,000 rows of
 #: long texts, with what is made of them, would take hundreds of megabytes a worker.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Rows of a few numbers that go through a Python function at once.
+LARGE_ROWS = 1 << 16
+
 #: Most keys that may count as hot, and so the most rows that a broadcast of hot keys can hold.
 MAX_HOT_KEYS = 256
 
@@ -48,13 +55,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """A new folder that driver and executors share.
 
-    It lies in the folder named by ``spark.checkpoint.dir``.  Only where that is unset, as in tests on one
-    machine, a local temporary folder takes its place.
+    It lies in the folder named by ``spark.checkpoint.dir``.  Where that is unset, a local temporary folder takes its place
+    if Spark runs on one machine, as in tests; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.celltide.scratch.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="celltide-")
         spark.conf.set("spark.celltide.scratch.dir", base)
     root = f"{base.rstrip('/')}/celltide/{uuid.uuid4().hex}"
@@ -84,6 +93,28 @@ def written(df: DataFrame, name: str = "t", root: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_large(df: DataFrame, function, schema: str, rows: int = LARGE_ROWS) -> DataFrame:
+    """``mapInPandas`` over narrow rows, in batches of ``rows`` whatever the session's batches are: less is spent on each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frames() -> Iterator[pd.DataFrame]:
+            held, n = [], 0
+            for b in batches:
+                held.append(b)
+                n += b.num_rows
+                if n >= rows:
+                    yield pa.Table.from_batches(held).to_pandas()
+                    held, n = [], 0
+            if n:
+                yield pa.Table.from_batches(held).to_pandas()
+
+        for out in function(frames()):
+            yield from pa.Table.from_pandas(out, schema=kind, preserve_index=False).to_batches()
+
+    kind = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    return df.mapInArrow(run, schema)
+
+
 def join_by_key(df: DataFrame, key: str, groups: DataFrame, values: list[str], size: str, total: int, spread: str) -> DataFrame:
     """Left join ``groups`` (one row per key, ``size`` rows of ``df`` each) to ``df``, whatever the skew.
 
