@@ -5,17 +5,17 @@ The language whose dictionary gives the fewest bytes is the answer; where the ru
 document is rejected.  A dictionary helps only the beginning of what is encoded, so a long text is encoded in pieces, each
 with the dictionary afresh, and the bytes of all pieces are added up: the margin does not depend on the length.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; equal sizes fall to the
+Defined cases: a null text or one without a letter (Unicode category L) is ``und`` with score 0 and rejected; equal sizes fall to the
 alphabetically first language (margin 0, rejected); repeated rows get equal answers; an empty table gives
-an empty result; with no language learned, every row is ``und``.
+an empty result; with no language learned, every row is ``und``; extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,18 +29,19 @@ DICT_BYTES = 64 * 1024
 CHARS_EACH = 1000
 #: Labelled documents considered per language.
 DOCS_EACH = 400
-#: Languages learned at most: the most frequent ones.
-MAX_LANGUAGES = 256
-#: Texts of fewer bytes than SHORT take a level that finds matches of a few letters too: there each byte counts.
-LEVEL, SHORT_LEVEL, SHORT = 5, 12, 256
+#: Bytes of all dictionaries together at most: every language is learned, from shorter dictionaries where they are very many.
+ALL_BYTES = 16 * 1024 * 1024
+#: The level of compression, the same for all texts: one that finds matches of three letters, as short texts need.
+LEVEL = 12
 #: Bytes that are encoded at a time; the pieces cover the text.
 PIECE = 4096
 #: A document is rejected if the runner-up needs less than this share of bytes more.  Held-out texts of one language have
 #: more (0.036 at the first percentile), random letters less (0.028 at the 99th, of 300 letters).
 MIN_MARGIN = 0.03
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+#: Marks belong to the letters before them.
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -70,19 +71,16 @@ class LanguageModel:
 _READY: dict[tuple, list] = {}
 
 
-def _coders(contents: dict[str, bytes], level: int) -> list[tuple[str, tuple[zstandard.ZstdCompressor, ...]]]:
-    """Compressors with digested dictionaries, for short and for other texts, made once per Python worker."""
+def _coders(contents: dict[str, bytes], level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    """Compressors with digested dictionaries, made once per Python worker."""
     key = (level, *((k, hash(v)) for k, v in sorted(contents.items())))
     if key not in _READY:
         _READY.clear()
         made = []
         for lang, raw in sorted(contents.items()):
-            pair = []
-            for of_level in (SHORT_LEVEL, level):
-                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=of_level)
-                pair.append(zstandard.ZstdCompressor(level=of_level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-            made.append((lang, tuple(pair)))
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            made.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
         _READY[key] = made
     return _READY[key]
 
@@ -91,9 +89,8 @@ def judge(text: str | None, coders, min_margin: float) -> tuple[str, float, floa
     if not text or not coders or not _LETTER.search(text):
         return UNKNOWN, 0.0, 0.0, True
     data = normalised(text)
-    which = 0 if len(data) < SHORT else 1
     pieces = [data[at : at + PIECE] for at in range(0, len(data), PIECE)]
-    sizes = sorted((sum(len(c[which].compress(x)) for x in pieces), lang) for lang, c in coders)
+    sizes = sorted((sum(len(c.compress(x)) for x in pieces), lang) for lang, c in coders)
     best = sizes[0]
     if len(sizes) == 1:
         return best[1], 1.0, 1.0, False
@@ -105,13 +102,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     """Learn dictionaries from labelled rows.
 
     A bounded sample, the same for the same rows: per language the ``docs_each`` labelled texts with the least hash of
-    ``order``, ``chars_each`` code points of each, up to ``dict_bytes``.
+    ``order``, ``chars_each`` code points of each, up to ``dict_bytes``.  Every value of ``lang`` is learned.
     """
     rows = pick(docs, text=text, lang=lang, order=order).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    known = rows.groupBy("lang").count().collect()  # a row for each language
+    dict_bytes = min(dict_bytes, ALL_BYTES // max(1, len(known)))
     sample = []
     if known:
-        # a hash under the language's cut leaves about twice the rows wanted, and only these are ranked
+        # a hash under the cut of its language leaves about twice the rows wanted, and only these are ranked
         cuts = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], min(1.0, 2.0 * docs_each / r["count"] + 1e-9))])
         share = F.shiftrightunsigned(F.xxhash64("order"), 11) / float(1 << 53)
         rows = rows.withColumn("h", share).where(F.col("h") < F.coalesce(cuts[F.col("lang")], F.lit(0.0)))

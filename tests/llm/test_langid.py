@@ -26,7 +26,7 @@ def test_the_fewest_bytes_win(model):
     import zstandard
 
     for text in ("the quick thing of and the", "nicht und das ist der die", "EL QUE DE LA %%% cosa", "les de la et que un une", "les de la et que un une nicht " * 20):
-        level = langid.SHORT_LEVEL if len(langid.normalised(text)) < langid.SHORT else langid.LEVEL
+        level = langid.LEVEL
         sizes = {}
         for lang, raw in model.contents.items():
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -53,3 +53,24 @@ def test_fit_on_odd_rows(spark):
     assert langid.classify(spark.createDataFrame(rows, schema), none).first().lang_pred == "und"
     one = langid.LanguageModel({"en": b"one two"})
     assert langid.judge("one", langid._coders(one.contents, 3), 0.1) == ("en", 1.0, 1.0, False)
+
+
+@pytest.mark.parametrize("text", ["½", "²", "Ⅷ", "12 _ 34", " \n", "\u0301", "", None])
+def test_without_a_letter(text):
+    coders = langid._coders({"en": b"the and of to", "de": b"und der die das"}, langid.LEVEL)
+    assert langid.judge(text, coders, langid.MIN_MARGIN) == ("und", 0.0, 0.0, True)
+    assert langid.judge("x" + (text or ""), coders, langid.MIN_MARGIN)[0] in ("en", "de")
+
+
+def test_marks_stay_with_their_letters():
+    assert langid.normalised("हिन्दी 1, भाषा!").decode() == "हिन्दी भाषा"
+
+
+def test_every_language_is_learned(spark):
+    """Three hundred languages, columns with clashing names."""
+    rows = [(i, f"word{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} " * 5, f"l{i}", 1.0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Text double")
+    model = langid.fit(docs)
+    assert len(model.contents) == 300
+    got = langid.classify(docs.limit(5), model).collect()
+    assert [r.lang_pred for r in got] == [f"l{r.doc_id}" for r in got]
