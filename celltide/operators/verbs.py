@@ -23,13 +23,19 @@ def initialize(spark: SparkSession, path: str, config: StoreConfig, extra=None)
 
 @dataclass
 class ShatterConfig:
-    """One ingest.  ``bounds`` is the data's own box if none is given; ``tile_size`` only groups cells for resuming."""
+    """One ingest.
+
+    ``bounds`` is the data's own box if none is given.  With ``batches`` over one, strips of storage tiles are
+    ingested one after the other, each from a scan of its own that reads its box only; progress is saved after each, so that an
+    interrupted ingest is resumed behind the last strip.
+    """
 
     dates: tuple = ()
     bounds: Bounds | None = None
     name: str = field(default_factory=lambda: str(uuid.uuid4()))
     tile_size: int | None = None
     parity: bool = False
+    batches: int = 1
 
 
 def cells_of(store: CellStore, points: DataFrame, box: Bounds, parity: bool = False) -> DataFrame:
@@ -47,7 +53,7 @@ def cells_of(store: CellStore, points: DataFrame, box: Bounds, parity: bool = Fa
         made = [c for c in cells.columns if c.startswith("m_")]
         first = F.col(f"`{made[0]}`").isNotNull()
         cells = cells.withColumns({c: F.when(first, F.col(f"`{c}`")) for c in made})
-    return cells
+    return cells.withColumns({c: F.col(f"`{c}`").cast("float") for c, m in store.metric_columns().items() if m.dtype == "float32"})
 
 
 def shatter(store: CellStore, points: DataFrame, config: ShatterConfig) -> Ingest:
@@ -56,7 +62,7 @@ def shatter(store: CellStore, points: DataFrame, config: ShatterConfig) -> Inges
     box = _box(store, points, config.bounds)
     entry = Ingest(config.name, store.reserve_slot(), (box or store.grid.root).to_list(), first, last, config.tile_size, written_from=int(time.time() * 1000))
     store.save(entry)
-    return _ingest(store, points, entry, box, config.parity)
+    return _ingest(store, points, entry, box, config.parity, config.batches)
 
 
 def _box(store: CellStore, points: DataFrame, bounds: Bounds | None) -> Bounds | None:
@@ -72,24 +78,42 @@ def _box(store: CellStore, points: DataFrame, bounds: Bounds | None) -> Bounds |
     return bounds.aligned(store.grid.res, store.grid.alignment).shared(store.grid.root)
 
 
-def _ingest(store: CellStore, points: DataFrame, entry: Ingest, box: Bounds | None, parity: bool = False, mode: str = "append") -> Ingest:
-    if box is not None:
-        written = store.write_cells(cells_of(store, points, box, parity), entry, mode)
-        stats = written.groupBy("tile_x", "tile_y").agg(F.min("X").alias("x1"), F.max("X").alias("x2"), F.min("Y").alias("y1"), F.max("Y").alias("y2"), F.sum("count").alias("n")).collect()
-        entry.mbr = sorted([r["x1"], r["x2"] + 1, r["y1"], r["y2"] + 1] for r in stats)
-        entry.point_count = sum(r["n"] for r in stats)
+def strips(store: CellStore, box: Bounds, n: int) -> list[Bounds]:
+    """A box in up to n strips of whole columns of storage tiles."""
+    x, res, e = store.config.xsize, store.grid.res, store.grid.extents(box)
+    first, last = e.x1 // x, (e.x2 - 1) // x + 1
+    n = max(1, min(n, last - first))
+    edges = [box.minx, *[store.grid.root.minx + res * x * (first + (last - first) * k // n) for k in range(1, n)], box.maxx]
+    return [Bounds(a, box.miny, b, box.maxy) for a, b in zip(edges, edges[1:])]
+
+
+def _batch(store: CellStore, cells: DataFrame, entry: Ingest, batch: int) -> None:
+    """Write a batch and save that it is done, with its rectangles and points."""
+    written = store.write_cells(cells, entry, batch)
+    stats = written.groupBy("tile_x", "tile_y").agg(F.min("X").alias("x1"), F.max("X").alias("x2"), F.min("Y").alias("y1"), F.max("Y").alias("y2"), F.sum("count").alias("n")).collect()
+    entry.mbr = sorted([*map(list, entry.mbr), *([r["x1"], r["x2"] + 1, r["y1"], r["y2"] + 1] for r in stats)])
+    entry.point_count += sum(r["n"] for r in stats)
+    entry.done = sorted({*entry.done, batch})
+    entry.written_to = int(time.time() * 1000)
+    store.save(entry)
+
+
+def _ingest(store: CellStore, points: DataFrame, entry: Ingest, box: Bounds | None, parity: bool = False, batches: int = 1) -> Ingest:
+    for k, part in enumerate(strips(store, box, batches) if box is not None else []):
+        _batch(store, cells_of(store, points, part, parity), entry, k)
     entry.written_to = int(time.time() * 1000)
     entry.finished = True
     store.save(entry)
     return entry
 
 
-def restart(store: CellStore, points: DataFrame, name: str) -> Ingest:
-    """Run an ingest again; it overwrites its own slot."""
+def restart(store: CellStore, points: DataFrame, name: str, batches: int = 1) -> Ingest:
+    """Run an ingest again in its own slot; what it held is forgotten first."""
     entry = store.entry(name)
-    entry.finished, entry.deleted, entry.mbr, entry.point_count = False, False, [], 0
+    entry.finished, entry.deleted, entry.mbr, entry.point_count, entry.done = False, False, [], 0, []
     store.save(entry)
-    return _ingest(store, points, entry, _box(store, points, Bounds.parse(entry.bounds)), mode="overwrite")
+    store.clear_slot(entry.time_slot)
+    return _ingest(store, points, entry, _box(store, points, Bounds.parse(entry.bounds)), batches=batches)
 
 
 def not_done(leaves: list[Extents], done: list[list[int]]) -> list[Extents]:
@@ -98,20 +122,19 @@ def not_done(leaves: list[Extents], done: list[list[int]]) -> list[Extents]:
 
 
 def resume(store: CellStore, points: DataFrame, name: str) -> Ingest:
-    """Go on with an ingest: cells in its saved rectangles are left as they are."""
+    """Go on with an ingest: cells in its saved rectangles are left as they are; returns the points of the others."""
     entry = store.entry(name)
     box = _box(store, points, Bounds.parse(entry.bounds))
     if box is None:
         return entry
-    kept = [list(r) for r in entry.mbr]
     # one rectangle per storage tile: their number is that of the slot's folders, which bounds the broadcast
-    done = F.broadcast(store.spark.createDataFrame(kept, "x1 int, x2 int, y1 int, y2 int"))
+    done = F.broadcast(store.spark.createDataFrame([list(r) for r in entry.mbr], "x1 int, x2 int, y1 int, y2 int"))
     inside = lambda x, y: (F.col(x) >= F.col("x1")) & (F.col(x) < F.col("x2")) & (F.col(y) >= F.col("y1")) & (F.col(y) < F.col("y2"))
     cells = cells_of(store, points, box).join(done, inside("xi", "yi"), "left_anti")
-    fresh = store.write_cells(cells, entry).join(done, inside("X", "Y"), "left_anti")
-    entry.point_count = fresh.agg(F.sum("count")).first()[0] or 0
-    entry.mbr = kept + [[x["a"], x["b"] + 1, x["c"], x["d"] + 1] for x in fresh.groupBy("tile_x", "tile_y").agg(F.min("X").alias("a"), F.max("X").alias("b"), F.min("Y").alias("c"), F.max("Y").alias("d")).collect()]
-    entry.finished, entry.written_to = True, int(time.time() * 1000)
+    # a batch of its own: an attempt that was not saved is not seen, and is overwritten here
+    entry.point_count = 0
+    _batch(store, cells, entry, max(entry.done, default=-1) + 1)
+    entry.finished = True
     store.save(entry)
     return entry
 

@@ -60,6 +60,20 @@ def records(data: bytes, head: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
+def headers(path: str) -> Iterator[tuple[str, dict]]:
+    """The files of a path with their headers."""
+    files, name = _fs(path)
+    found = files.get_file_info(pafs.FileSelector(name, recursive=True)) if files.get_file_info(name).type == pafs.FileType.Directory else [files.get_file_info(name)]
+    for f in found:
+        if f.type == pafs.FileType.File and f.path.lower().endswith(".las"):
+            with files.open_input_file(f.path) as data:
+                yield f.path if path.startswith("/") else path.split("://")[0] + "://" + f.path, header(data.read_at(375, 0))
+
+
+def header_count(path: str) -> int:
+    return sum(head["count"] for _, head in headers(path))
+
+
 class LasReader(DataSourceReader):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -67,14 +81,7 @@ class LasReader(DataSourceReader):
     def partitions(self) -> list[Slice]:
         out = []
         for path in self.paths:
-            files, name = _fs(path)
-            found = files.get_file_info(pafs.FileSelector(name, recursive=True)) if files.get_file_info(name).type == pafs.FileType.Directory else [files.get_file_info(name)]
-            for f in found:
-                if f.type != pafs.FileType.File or not f.path.lower().endswith(".las"):
-                    continue
-                with files.open_input_file(f.path) as data:
-                    head = header(data.read_at(375, 0))
-                uri = f.path if path.startswith("/") else path.split("://")[0] + "://" + f.path
+            for uri, head in headers(path):
                 out += [Slice(uri, k, min(SLICE, head["count"] - k), head) for k in range(0, head["count"], SLICE)]
         return out
 

@@ -100,3 +100,13 @@ def load(spark: SparkSession, path: str, columns: dict[str, str] | None = None,
     if bounds is not None:
         df = df.where(bounds.grown(collar).holds_closed(F.col("X"), F.col("Y")))
     return df
+
+
+def estimated_count(spark: SparkSession, path: str) -> int:
+    """How many points a file or folder holds, without reading points where its headers say it.
+
+    LAS headers and Parquet footers hold the number; other sources, and pipelines with steps, are counted.
+    """
+    if not is_pipeline(path) and kind_of(path) == "las":
+        return las.header_count(path)
+    return load(spark, path).count()

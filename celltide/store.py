@@ -2,9 +2,13 @@
 
 ``root/_config.json``            what the database was made with
 ``root/history/slot=N.json``     one document per ingest; its creation reserves the slot
-``root/cells/time_slot=N/...``   the cells that ingest N wrote, by tile
+``root/cells/time_slot=N/batch=K/...``   the cells that batch K of ingest N wrote, by tile, sorted by cell
+``root/cells/base=ID/...``       the cells that a compaction wrote, with the slots they came from
+``root/_manifest.json``          which base is valid, and which batches it has taken in
 
-Later slots win per cell.  A deleted slot still hides older ones where it had cells, as if it held nothing there.
+Later slots win per cell.  A deleted slot still hides older ones where it had cells, as if it held nothing there.  Only batches
+that the history names as done are read, and only the base that the manifest names: what a crash left is
+never seen, and is overwritten by the next attempt or removed by :meth:`CellStore.vacuum`.
 """
 
 from __future__ import annotations
@@ -54,12 +58,20 @@ class Files:
         return True
 
     def replace(self, name: str, data: dict) -> None:
-        """Write beside and rename, so that readers see the old or the new file."""
-        beside = f"{name}.{uuid.uuid4().hex}.new"
-        self._fill(self.fs(name).create(self.path(beside), True), data)
-        self.fs(name).delete(self.path(name), False)
-        if not self.fs(name).rename(self.path(beside), self.path(name)):
-            raise OSError(f"cannot write {self.root}/{name}")
+        """Readers see the old or the new file, whenever the writer stops.
+
+        File systems with renames replace the file by one rename; object stores publish a file as a whole when it is closed.
+        """
+        hadoop, path = self.jvm.org.apache.hadoop.fs, self.path(name)
+        if self.fs(name).getScheme() not in ("file", "hdfs", "viewfs"):
+            self._fill(self.fs(name).create(path, True), data)
+            return
+        beside = self.path(f"{name}.{uuid.uuid4().hex}.new")
+        self._fill(self.fs(name).create(beside, True), data)
+        rename = getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        hadoop.FileContext.getFileContext(self.fs(name).makeQualified(path).toUri(), self.conf).rename(self.fs(name).makeQualified(beside), self.fs(name).makeQualified(path), how)
 
     @staticmethod
     def _fill(out, data: dict) -> None:
@@ -120,6 +132,8 @@ class Ingest:
     finished: bool = False
     deleted: bool = False
     mbr: list[list[int]] = field(default_factory=list)
+    #: The batches whose cells are written and counted.
+    done: list[int] = field(default_factory=list)
     written_from: int = 0
     written_to: int = 0
 
@@ -226,15 +240,41 @@ class CellStore:
 
     # -------------------------------------------------------- cells
 
+    def manifest(self) -> dict:
+        """The valid base, by slot the batches that it has taken in, and slots that were written anew since."""
+        return self.files.read("_manifest.json") if self.files.exists("_manifest.json") else {"base": "", "slots": {}, "replaced": []}
+
+    def _has_cells(self, folder: str) -> bool:
+        return any(t.startswith("tile_x=") for t in self.files.names(folder))
+
+    def clear_slot(self, slot: int) -> None:
+        """Forget what a slot held, in the base too; its entry must be saved without batches before."""
+        m = self.manifest()
+        if str(slot) in m["slots"]:
+            m["slots"].pop(str(slot))
+            self.files.replace("_manifest.json", m | {"replaced": sorted({*m["replaced"], slot})})
+        if self.files.exists(f"cells/time_slot={slot}"):
+            self.files.delete(f"cells/time_slot={slot}")
+
     def slot_path(self, slot: int) -> str:
         return f"{self.path}/cells/time_slot={slot}"
 
-    def write_cells(self, cells: DataFrame, entry: Ingest, mode: str = "append") -> DataFrame:
-        """Write cells keyed by xi and yi, stamped with the ingest's slot, days and time; what the slot holds then."""
+    def write_cells(self, cells: DataFrame, entry: Ingest, batch: int = 0) -> DataFrame:
+        """Write cells keyed by xi and yi, stamped with the ingest's slot, days and time, over what an earlier attempt left.
+
+        They are seen when the batch is saved as done.
+        """
         out = self._stamped(cells, entry)
-        # cells of a tile that many tasks hold are brought together first, so that a tile is few files; rebalancing splits large tiles
-        out.hint("rebalance", F.col("tile_x"), F.col("tile_y")).write.mode(mode).option("compression", "zstd").partitionBy("tile_x", "tile_y").parquet(self.slot_path(entry.time_slot))
-        return self.spark.read.schema(out.schema).parquet(self.slot_path(entry.time_slot))
+        path = f"{self.slot_path(entry.time_slot)}/batch={batch}"
+        self._write(out, path)
+        return self.spark.read.schema(out.schema).parquet(path)
+
+    @staticmethod
+    def _write(cells: DataFrame, path: str) -> None:
+        # cells of a tile that many tasks hold are brought together first, so that a tile is few files; rebalancing splits large
+        # tiles.  Sorted cells let readers skip row groups by X and Y
+        tiles = cells.hint("rebalance", F.col("tile_x"), F.col("tile_y")).sortWithinPartitions("tile_x", "tile_y", "X", "Y")
+        tiles.write.mode("overwrite").option("compression", "zstd").partitionBy("tile_x", "tile_y").parquet(path)
 
     def _stamped(self, cells: DataFrame, entry: Ingest) -> DataFrame:
         c = self.config
@@ -250,10 +290,17 @@ class CellStore:
 
     def all_cells(self, extents: Extents | None = None, before_ms: int | None = None, since_ms: int | None = None, columns: list[str] | None = None) -> DataFrame | None:
         """Every version of the cells in a box, pruned by slot, tile and index; None if nothing was written."""
-        slots = [n for n in self.files.names("cells") if n.startswith("time_slot=") and any(t.startswith("tile_x=") for t in self.files.names(f"cells/{n}"))]
-        if not slots:
+        manifest, parts = self.manifest(), []
+        if manifest["base"] and self._has_cells(manifest["base"]):
+            base = self.spark.read.parquet(f"{self.path}/{manifest['base']}")
+            parts.append(base.where(~F.col("time_slot").isin(manifest["replaced"])) if manifest["replaced"] else base)
+        found = [f"cells/time_slot={e.time_slot}/batch={k}" for e in self.history() for k in e.done if k not in manifest["slots"].get(str(e.time_slot), [])]
+        if found := [f for f in found if self._has_cells(f)]:
+            rows = self.spark.read.option("basePath", f"{self.path}/cells").option("mergeSchema", "false").parquet(*[f"{self.path}/{f}" for f in found])
+            parts.append(rows.drop("batch"))
+        if not parts:
             return None
-        df = self.spark.read.option("basePath", f"{self.path}/cells").option("mergeSchema", "false").parquet(*[f"{self.path}/cells/{s}" for s in slots])
+        df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         if extents is not None:
             c = self.config
             tile = lambda name, low, high, size: (F.col(name) >= low // size) & (F.col(name) <= (high - 1) // size)
@@ -279,27 +326,50 @@ class CellStore:
         return latest.where(~F.col("time_slot").isin(gone)) if gone else latest
 
     def compact(self) -> None:
-        """Rewrite the latest version of every cell as one slot's files per tile; history keeps the older entries.
+        """Write the latest version of every cell to a new base, publish it by the manifest, then remove what it replaced.
 
-        Time travel ends at a compaction, as it does in the reference.
+        Cells keep the slot they came from, so that a later delete finds them.  Time travel ends at a compaction, as it does
+        in the reference.  A crash before the manifest is replaced changes nothing, one after it leaves folders for vacuum.
         """
+        slots = {str(e.time_slot): e.done for e in self.history()}
         df = self.read()
         if df is None:
             return
-        keep = max(int(n.split("=")[1]) for n in self.files.names("cells") if n.startswith("time_slot="))
-        target = f"cells/_compact_{uuid.uuid4().hex}"
-        df.drop("time_slot").hint("rebalance", F.col("tile_x"), F.col("tile_y")).write.option("compression", "zstd").partitionBy("tile_x", "tile_y").parquet(f"{self.path}/{target}")
+        base = f"cells/base={uuid.uuid4().hex}"
+        self._write(df, f"{self.path}/{base}")
+        self.files.replace("_manifest.json", {"base": base, "slots": slots, "replaced": []})
+        self.vacuum()
+
+    def vacuum(self) -> list[str]:
+        """Remove folders of cells that no reader looks at: old bases, batches in the base, what crashes left."""
+        m = self.manifest()
+        keep = {m["base"]} | {f"cells/time_slot={e.time_slot}/batch={k}" for e in self.history() for k in e.done if k not in m["slots"].get(str(e.time_slot), [])}
+        running = {f"cells/time_slot={e.time_slot}" for e in self.history() if not e.finished and not e.deleted}
+        gone = []
         for n in self.files.names("cells"):
-            if n.startswith("time_slot="):
-                self.files.delete(f"cells/{n}")
-        self.files.fs().rename(self.files.path(target), self.files.path(f"cells/time_slot={keep}"))
-        for e in self.history():
-            if e.deleted:
-                self.files.delete(f"history/slot={e.time_slot}.json") if e.time_slot != keep else self.save(_undeleted(e))
+            below = [f"cells/{n}/{k}" for k in self.files.names(f"cells/{n}")] if n.startswith("time_slot=") else [f"cells/{n}"]
+            gone += [f for f in below if f not in keep and f"cells/{n}" not in running]
+        for f in gone:
+            self.files.delete(f)
+        return gone
 
+    def fragments(self, since_ms: int | None = None, before_ms: int | None = None, bounds: Bounds | None = None, inside: bool = False) -> list[dict]:
+        """The written pieces of the database with their slot, batch, time, files and bytes.
 
-def _undeleted(e: Ingest) -> Ingest:
-    return Ingest(**(asdict(e) | {"deleted": False}))
+        ``since_ms`` and ``before_ms`` ask for pieces whose time of writing overlaps that window, or lies ``inside`` it.
+        """
+        out, m = [], self.manifest()
+        for e in self.history(bounds=bounds):
+            first, last = e.written_from, e.written_to or e.written_from
+            low, high = (first, last) if inside else (last, first)
+            if (since_ms is not None and low < since_ms) or (before_ms is not None and high > before_ms):
+                continue
+            for k in e.done:
+                folder = f"cells/time_slot={e.time_slot}/batch={k}"
+                merged = k in m["slots"].get(str(e.time_slot), [])
+                size = None if merged or not self.files.exists(folder) else self.files.fs(folder).getContentSummary(self.files.path(folder))
+                out.append({"name": e.name, "time_slot": e.time_slot, "batch": k, "bounds": e.bounds, "written_from": first, "written_to": last, "in_base": merged, "files": size.getFileCount() if size else 0, "bytes": size.getLength() if size else 0})
+        return out
 
 
 def overlaps(start: str, end: str, first, last) -> Column:

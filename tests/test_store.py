@@ -77,6 +77,58 @@ def test_resume_skips_finished_cells(spark, tmp_path, alignment, left):
     assert store.read().where("X < 5 AND Y < 5").count() == 0
 
 
+def test_interrupted_ingest_goes_on(spark, tmp_path, monkeypatch):
+    """Killed in its third strip, before and after that strip's cells are written."""
+    for late in (False, True):
+        store = new(spark, tmp_path / f"db{late}", xsize=2, ysize=5)
+        pts, write, n = cloud(spark), store.write_cells, []
+
+        def fails(cells, entry, batch=0):
+            n.append(batch)
+            if len(n) == 3:
+                if late:
+                    write(cells, entry, batch)
+                raise KeyboardInterrupt
+            return write(cells, entry, batch)
+
+        monkeypatch.setattr(store, "write_cells", fails)
+        with pytest.raises(KeyboardInterrupt):
+            verbs.shatter(store, pts, ShatterConfig(dates="2011-01-01", name="x", batches=5))
+        store = CellStore.open(spark, str(tmp_path / f"db{late}"))
+        half = store.entry("x")
+        assert not half.finished and half.done == [0, 1] and half.point_count == 36_000 and store.read().count() == 40
+        assert verbs.resume(store, pts, "x").point_count == 54_000
+        rows = store.all_cells().collect()
+        assert len(rows) == 100 and sum(r["count"] for r in rows) == 90_000 and store.entry("x").finished
+
+
+def test_compaction_and_delete(spark, tmp_path, monkeypatch):
+    store = new(spark, tmp_path / "db")
+    pts = cloud(spark)
+    verbs.shatter(store, pts, ShatterConfig(dates="2011-01-01", name="old"))
+    verbs.shatter(store, pts.where("X < 390"), ShatterConfig(dates="2012-01-01", name="new", bounds=Bounds(300, 300, 390, 600)))
+    # a crash before the manifest is written changes nothing
+    replace = store.files.replace
+    monkeypatch.setattr(store.files, "replace", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        store.compact()
+    monkeypatch.setattr(store.files, "replace", replace)
+    assert store.read().count() == 100 and len(store.vacuum()) == 1
+    store.compact()
+    assert store.read().groupBy("time_slot").count().orderBy("time_slot").collect() == [(1, 70), (2, 30)]
+    assert [f["in_base"] for f in store.fragments()] == [True, True] and store.vacuum() == []
+    verbs.delete(store, "old")
+    assert {r.time_slot for r in store.read().collect()} == {2} and store.read().count() == 30
+    verbs.restart(store, pts.where("X >= 570"), "old")
+    assert store.read().groupBy("time_slot").count().orderBy("time_slot").collect() == [(1, 10), (2, 30)]
+    store.compact()
+    assert store.read().count() == 40 and dict(store.read().dtypes)["m_Z_mean"] == "float"
+    three = verbs.shatter(store, pts, ShatterConfig(dates="2013-01-01", name="three"))
+    assert three.time_slot == 3 and store.read().count() == 100
+    last = store.fragments(since_ms=three.written_from, inside=True)
+    assert [(f["name"], f["in_base"], f["files"] > 0, f["bytes"] > 0) for f in last] == [("three", False, True, True)] and len(store.fragments(before_ms=three.written_from - 1)) == 2
+
+
 def test_history_and_info(spark, tmp_path):
     store = new(spark, tmp_path / "db")
     pts = cloud(spark)
@@ -178,6 +230,7 @@ def test_las_and_pipelines(spark, tmp_path):
             src.kind_of(bad)
     df.select("X", "Y").write.json(str(tmp_path / "pts.json"))
     assert src.load(spark, str(tmp_path / "a.las"), {"A": "X + 1"}).columns == ["A"]
+    assert src.estimated_count(spark, str(tmp_path / "a.las")) == n == src.estimated_count(spark, str(tmp_path / "pts.json"))
 
 
 def test_command_line(spark, tmp_path):
