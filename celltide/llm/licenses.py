@@ -3,7 +3,8 @@
 A template is a text with markup: ``<<beginOptional>>`` ... ``<<endOptional>>`` may be left out, and
 ``<<var;name="..";original="..";match=".{a,b}">>`` stands for a to b words of any kind.  A template compiles to an automaton over words,
 made deterministic as texts call for its states; a text is accepted from the words where mandatory wording
-begins to where it ends, all of it in order.  The longest acceptance at a start counts.
+begins to where it ends, all of it in order.  The longest acceptance at a start counts.  Licenses of a page or less are there as
+whole texts; of longer ones, the notice that goes into files.  Extra columns, whatever their names, are not looked at.
 
 Beside templates, phrases are looked for; they give the base labels.  Words are as in :mod:`.decontam`.
 
@@ -27,18 +28,54 @@ from .shared import pick
 PHRASES: dict[str, str] = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 _YEAR = '<<var;name="copyright";original="Copyright (c) year holder";match=".{0,16}">>'
-#: Wording of public license notices, with markup.
+_WHO = '<<var;name="holder";original="the copyright holder";match=".{1,12}">>'
+#: The wording of public licenses, whole, and of the notices that their publishers propose, with markup.
+_BSD_GRANT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = f"""<<beginOptional>>3.<<endOptional>> Neither the name of {_WHO} nor the names of <<beginOptional>>its<<endOptional>><<beginOptional>>other
+        <<endOptional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = f"""THIS SOFTWARE IS PROVIDED BY {_WHO} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {_WHO} BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+        STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE."""
 TEMPLATES: dict[str, str] = {
-    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    "mit-text": f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
         copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
         is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
         <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
-        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND""",
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {_WHO} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
     "isc-text": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without
-        fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-        following conditions are met""",
+        fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+        "AS IS" AND <<var;name="author";original="THE AUTHOR";match=".{1,8}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="author";original="THE AUTHOR";match=".{1,8}">> BE LIABLE FOR
+        ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+        ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause-text": f"{_BSD_GRANT} {_BSD_DISCLAIMER}",
+    "bsd-3-clause-text": f"{_BSD_GRANT} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of
+        this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+        acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions
+        must be plainly marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice
+        may not be removed or altered from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+        means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+        software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
+        intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN
+        AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+        <<beginOptional>>For more information, please refer to http://unlicense.org<<endOptional>>""",
     "mit-notice": 'Released under the <<var;name="kind";original="";match=".{0,2}">> MIT License',
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 <<beginOptional>>(the \"License\")<<endOptional>>",
     "gpl-notice": """This <<var;name="what";original="work";match=".{1,4}">> is licensed under the <<beginOptional>>terms of the<<endOptional>> GNU

@@ -67,3 +67,36 @@ def test_table_empty_and_extra(spark, sf_dir):
     assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan(docs).collect()} == want
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert licenses.scan(spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, n_words string")).first().n_words == 1
+
+
+def bare(template):
+    """A template's own text: optional parts in, variable parts as they are in the original."""
+    import re
+
+    text = re.sub(r'<<var;name="[^"]*";original="([^"]*)";match="[^"]*">>', r"\1", template)
+    return re.sub("<<(begin|end)Optional>>", " ", text)
+
+
+WHOLE = sorted(k for k in licenses.TEMPLATES if k.endswith("-text"))
+
+
+@pytest.mark.parametrize("label", WHOLE)
+def test_all_mandatory_wording_is_asked_for(label):
+    """Each license matches its own text only, and not with one word changed, left out, or the end cut off."""
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    words = [w.decode() for w in words_of(bare(licenses.TEMPLATES[label]))]
+    assert [x for x in scanner.scan("before " + " ".join(words) + " after")[5] if x in WHOLE] == [label]
+    kept = licenses.TemplateAutomaton(licenses.TEMPLATES[label])
+    optional = 0
+    for k in range(len(words)):
+        changed = [w.encode() for w in words[:k] + ["qqq"] + words[k + 1 :]]
+        optional += kept.match(changed, 0) is not None
+    assert optional < 40 and optional < len(words) / 4
+    for k in (1, len(words) // 2, len(words) - 15):
+        assert kept.match([w.encode() for w in words[:k]], 0) is None
+
+
+def test_a_clause_alone_is_no_license():
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    text = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that you must pay us"
+    assert scanner.scan(text)[5:7] == ([], 0.0)
