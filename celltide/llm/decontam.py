@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick
+from .shared import pick, remove, scratch_root, written
 
 WINDOW = 8
-#: Bytes of benchmark text that one pass takes; a larger benchmark is searched in several passes over the rows.
-PASS_BYTES = 32 * 1024 * 1024
+#: Test strings that one pass takes (about 700 bytes each in a Python worker); a larger benchmark is searched in several passes
+#: over the rows, one after the other, and its items come to the driver a pass at a time.
+PASS_WINDOWS = 250_000
 MIN_ITEMS = 2
 
 _TO_WORDS = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
@@ -35,7 +36,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WuManber:
     """Shift and bucket tables of the test strings of one length."""
 
-    def __init__(self, length: int, strings: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, length: int, strings: dict[tuple[bytes, ...], tuple[str, ...]]):
         self.length, self.block = length, min(2, length)
         self.strings = strings
         self.shift: dict[bytes, int] = {}
@@ -65,13 +66,17 @@ class WuManber:
 
 
 def compile_items(items: list[tuple[str, str]], window: int = WINDOW) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+    by_length: dict[int, dict[tuple[bytes, ...], tuple[str, ...]]] = defaultdict(dict)
+    known: dict[bytes, bytes] = {}  # equal words are one object
     for item, text in items:
-        words = words_of(text)
+        words = [known.setdefault(w, w) for w in words_of(text)]
         m = min(window, len(words))
         for k in range(len(words) - m + 1 if m else 0):
-            by_length[m][tuple(words[k : k + m])].add(item)
-    return [WuManber(m, dict(s)) for m, s in sorted(by_length.items())]
+            strings, s = by_length[m], tuple(words[k : k + m])
+            have = strings.get(s, ())
+            if item not in have:
+                strings[s] = (*have, item)
+    return [WuManber(m, s) for m, s in sorted(by_length.items())]
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -102,24 +107,36 @@ def search_text(text: str | None, machines: list[WuManber], spans=(), items=())
     for machine in machines:
         for start, s in machine.search(words):
             spans.append((start, start + machine.length))
-            names |= machine.strings[s]
+            names.update(machine.strings[s])
     return len(words), merged(spans) if len(spans) > 1 else spans, sorted(names)
 
 
 class Benchmark:
-    """The test strings of a benchmark in bounded groups of items, one group for each pass."""
+    """The test strings of a benchmark in bounded groups of items, one group for each pass.
 
-    def __init__(self, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES):
+    A pass has about ``pass_windows`` test strings, or those of one item that has more.
+    """
+
+    def __init__(self, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, pass_windows: int = PASS_WINDOWS):
         rows = pick(items, item_id=item_id, text=text).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
         rows = rows.select(F.col("item_id").cast("string").alias("item_id"), "text")
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.window, self.passes = window, max(1, -(-size // pass_bytes))
+        words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+        size = rows.agg(F.sum(F.greatest(words - (window - 1), F.lit(1)))).first()[0] or 0
+        self.window, self.passes = window, max(1, -(-size // pass_windows))
         self._group = lambda k: [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.passes)) == k).distinct().collect()]
 
     def with_hits(self, df: DataFrame, text: str, name: str) -> DataFrame:
-        """Add a struct column of word count, merged hit spans and item ids; one pass over the rows per group."""
+        """Add a struct column of word count, merged hit spans and item ids; one pass over the rows per group.
+
+        Where there are several, the rows are written after each, so that no plan holds two groups.
+        """
+        if self.passes == 1:
+            return df.withColumn(name, self._pass(self._group(0), F.col(text), None))
+        root = scratch_root(df.sparkSession)
         for k in range(self.passes):
-            df = df.withColumn(name, self._pass(self._group(k), F.col(text), F.col(name) if k else None))
+            df = written(df.withColumn(name, self._pass(self._group(k), F.col(text), F.col(name) if k else None)), f"pass{k}", root)
+            if k:
+                remove(df.sparkSession, f"{root}/pass{k - 1}")
         return df
 
     def _pass(self, items: list[tuple[str, str]], text: Column, before: Column | None) -> Column:

@@ -28,16 +28,16 @@ def brute(docs, items, window=8):
     return sorted(out)
 
 
-@pytest.mark.parametrize("pass_bytes", [decontam.PASS_BYTES, 200])
-def test_scan_equals_brute_force(spark, pass_bytes):
+@pytest.mark.parametrize("pass_windows", [decontam.PASS_WINDOWS, 10])
+def test_scan_equals_brute_force(spark, pass_windows):
     """Also with the items in many groups, one pass over the rows for each."""
     rng = random.Random(1)
     word = lambda: rng.choice(["a", "B", "c", "dé", "e1", "x-y"])
     items = [(i % 20 if i % 9 else None, " ".join(word() for _ in range(rng.choice([1, 2, 3, 8, 9, 20])))) for i in range(4, 34)] + [(50, None), (51, ""), (52, "?!")]
     docs = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 7, 60, 400])))) for i in range(60)]
     docs += [(None, items[3][1].upper()), (5, None), (5, " . "), (6, (items[5][1] + " ") * 200)]
-    bench = decontam.Benchmark(spark.createDataFrame(items, "item_id long, text string"), pass_bytes=pass_bytes)
-    assert (bench.passes > 1) == (pass_bytes == 200)
+    bench = decontam.Benchmark(spark.createDataFrame(items, "item_id long, text string"), pass_windows=pass_windows)
+    assert (bench.passes > 1) == (pass_windows == 10)
     got = decontam.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert sorted((repr(r.doc_id), r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) for r in got) == brute(docs, items)
 
