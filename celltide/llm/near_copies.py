@@ -7,12 +7,13 @@ share one of the first n - ceil(4 n / 5) + 1 shingles of each, under any order t
 are common in a sample come last, so that sets seldom meet at a passage that many texts quote; the order decides on
 the work only, never on the result.
 
-1. Sets that are equal are one from here on.  Each sends its first shingles; of a shingle that several send, the least
-   is the hub, and all others are held against it: rows in proportion to what was sent.
+1. Sets that are equal are one from here on.  Each sends its first shingles; of the sets that send one shingle, that which shares
+   most with others is the hub, and all others are held against it: rows in proportion to what was sent.
 2. Candidates of SimHash and of hubs that may be near by a parity sketch (its bits that differ are no more than the shingles
    that differ) are verified on the whole sets.
 3. Of shingles whose sets the links found so far leave in different components, pairs of such sets are verified too, if
-   sizes and places allow 4/5 with this shingle as the first that they share.
+   sizes, places and short sketches allow 4/5 with this shingle as the first that they share.  The join holds such sets of one
+   shingle against each other, and lets out only pairs that pass.
 
 All meetings are joins that adaptive execution splits where a shingle is hot, after counts and minima that are
 aggregated before they are shuffled.  Sets are told apart by 64-bit digests, rows by 128 bits of their id and text.
@@ -41,6 +42,8 @@ SEED = 42
 NEAR, OF = 4, 5
 #: Bits of the parity sketch at least; it has one for each shingle or more.
 SKETCH = 128
+#: Longs of the short sketch that goes with a shingle.
+SHORT = 8
 #: Texts whose shingles are counted for the order, and the common shingles that it knows at most.
 SAMPLE, COMMON = 4096, 1 << 16
 #: Bits of a membership filter at most (8 MB); rows that pass it for nothing go through a shuffle and are dropped there.
@@ -71,6 +74,11 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A sketch of SHORT longs at most."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, min(SHORT, len(bits))), axis=0)
+
+
 def _differ(a: str, b: str) -> Column:
     """Bits in which two sketches differ; the longer one is folded to the shorter one's length."""
     at = lambda x: f"({x}[i] ^ IF(size({x}) > least(size({a}), size({b})), {x}[i + least(size({a}), size({b}))], 0L))"
@@ -173,14 +181,19 @@ def _proposed(each: DataFrame, root: str) -> DataFrame:
 
 
 def _met(each: DataFrame, root: str) -> DataFrame:
-    """(s, sig, n, i, hub, hn, hi, c) of every shingle that c > 1 sets send."""
+    """(s, sig, n, i, hub, hn, hi, c) of every shingle that c > 1 sets send.
+
+    The hub is the set that has the most in common with others: the sum of c over what it sends, against its size.  Copies that
+    were changed at places of their own are near the text that they were made from, though not each other.
+    """
     sent = each.select("sig", "n", F.posexplode("sent").alias("i", "s"))
-    # size and place go as one long, so that partial minima are kept in hash tables
-    packed = sent.select("s", "sig", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"))
-    hubs = packed.groupBy("s").agg(F.min("sig").alias("hub"), F.min_by("at", "sig").alias("at"), F.count("*").alias("c")).where("c > 1")
-    hubs = written(hubs.select("s", "hub", F.shiftright("at", 32).cast("int").alias("hn"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("hi"), "c"), "hubs", root)
-    some = sent.where(Members(hubs, "s").may_have(F.col("s")))
-    return written(some.join(hubs.hint("merge"), "s"), "met", root)
+    counts = written(sent.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "counts", root)
+    some = sent.where(Members(counts, "s").may_have(F.col("s")))
+    shared = written(some.join(counts.hint("merge"), "s"), "shared", root)
+    weights = shared.groupBy("sig").agg((F.sum("c") / F.first("n")).alias("w"))
+    rows = shared.join(weights.hint("merge"), "sig")
+    hubs = written(rows.groupBy("s").agg(F.max(F.struct("w", "sig", "n", "i")).alias("h")).select("s", F.col("h.sig").alias("hub"), F.col("h.n").alias("hn"), F.col("h.i").alias("hi")), "hubs", root)
+    return written(shared.join(hubs.hint("merge"), "s"), "met", root)
 
 
 def _first_met(n: str, i: str, m: str, j: str) -> Column:
@@ -188,7 +201,7 @@ def _first_met(n: str, i: str, m: str, j: str) -> Column:
     return (NEAR + OF) * F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= NEAR * (F.col(n) + F.col(m))
 
 
-def _across(met: DataFrame, labels: DataFrame, root: str) -> DataFrame:
+def _across(met: DataFrame, labels: DataFrame, each: DataFrame, root: str) -> DataFrame:
     """(a, b): pairs that meet at a shingle, lie in different components, and may be near copies.
 
     Of such a pair the shingle stands in the first ninth of one set at least, and sizes differ by a quarter at most: that set is
@@ -198,10 +211,11 @@ def _across(met: DataFrame, labels: DataFrame, root: str) -> DataFrame:
     rows = written(rows, "labelled_rows", root)
     mixed = rows.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("s")
     rows = rows.join(mixed.hint("merge"), "s").withColumn("class", F.floor(F.log("n") / F.log(F.lit(OF / NEAR)) + 1e-9).cast("int"))
-    rows = written(rows, "mixed_rows", root)
+    rows = written(rows.join(each.select("sig", "mini").hint("merge"), "sig"), "mixed_rows", root)
     early = rows.where((NEAR + OF) * (F.col("n") - F.col("i")) >= 2 * NEAR * F.col("n"))
-    early = early.select("s", *[F.col(c).alias(f"e_{c}") for c in ("sig", "n", "i", "label")], F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class"))
-    pairs = early.join(rows.hint("merge"), ["s", "class"]).where((F.col("e_label") != F.col("label")) & _first_met("e_n", "e_i", "n", "i"))
+    early = early.select("s", *[F.col(c).alias(f"e_{c}") for c in ("sig", "n", "i", "label", "mini")], F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class"))
+    near = (F.col("e_label") != F.col("label")) & _first_met("e_n", "e_i", "n", "i") & ((NEAR + OF) * _differ("e_mini", "mini") <= (OF - NEAR) * (F.col("e_n") + F.col("n")))
+    pairs = early.join(rows.hint("merge"), (early["s"] == rows["s"]) & (early["class"] == rows["class"]) & near)
     return pairs.select(F.least("e_sig", "sig").alias("a"), F.greatest("e_sig", "sig").alias("b")).distinct()
 
 
@@ -222,21 +236,22 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     common, rank = common_shingles(docs, total)
     known = docs.sparkSession.sparkContext.broadcast((common, rank))
 
-    @F.pandas_udf("sig long, n int, fp long, bits array<long>, sent array<long>")
+    @F.pandas_udf("sig long, n int, fp long, bits array<long>, mini array<long>, sent array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             every = hashes(t)
             x = np.unique(every.view("<i8"))
-            out.append((signature(x), len(x), simhash.majority(every), sketch(x), first_ones(x, *known.value)))
-        return pd.DataFrame(out, columns=["sig", "n", "fp", "bits", "sent"])
+            bits = sketch(x)
+            out.append((signature(x), len(x), simhash.majority(every), bits, folded(bits), first_ones(x, *known.value)))
+        return pd.DataFrame(out, columns=["sig", "n", "fp", "bits", "mini", "sent"])
 
     rows = written(docs.select("doc_id", "k", "t", of("text").alias("f")).select("doc_id", "k", "t", "f.*"), "rows", root)
     # only sets that several rows have go through a shuffle
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "t")
     again = written(rows.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig"), "again", root)
     rows = rows.withColumn("_hit", Members(again, "sig").may_have(F.col("sig")))
-    shape = F.struct("k", "n", "fp", "bits", "sent")
+    shape = F.struct("k", "n", "fp", "bits", "mini", "sent")
     alone = rows.where("not _hit").select("sig", key.alias("lo"), F.lit(1).cast("long").alias("rows"), shape.alias("f"))
     met = rows.where("_hit").groupBy("sig").agg(F.min(key).alias("lo"), F.count("*").alias("rows"), F.first(shape).alias("f"))
     each = written(alone.unionByName(met).select("sig", "lo", "rows", "f.*"), "each", root)
@@ -244,7 +259,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     hubs = met.where((F.col("sig") != F.col("hub")) & _first_met("n", "i", "hn", "hi")).select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b"))
     found = verified(docs, each, hubs.unionByName(_proposed(each, root)).distinct(), "near", root)
     labels = simhash.components(found, f"{root}/first")
-    found = found.unionByName(verified(docs, each, _across(met, labels, root), "others", root))
+    found = found.unionByName(verified(docs, each, _across(met, labels, each, root), "others", root))
     labels = simhash.components(found, f"{root}/second")
     labelled = each.join(labels.hint("merge"), F.col("sig") == F.col("node"), "left").select("sig", "lo", "rows", F.coalesce("label", "sig").alias("label"))
     labelled = written(labelled, "labelled", root)
@@ -252,7 +267,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     named = written(join_by_key(labelled, "label", whole, ["least"], "size", total, "sig").select("sig", "rows", "least"), "named", root)
     out = join_by_key(rows.select("doc_id", "k", "t", "sig"), "sig", named, ["least"], "rows", total, "t")
     out = written(out.select("doc_id", "k", "t", F.col("least.doc_id").alias("component_id"), ((F.col("least.k") == F.col("k")) & (F.col("least.t") == F.col("t"))).alias("first")), "groups", root)
-    for name in ("rows", "each", "met", "hubs", "heads", "labelled", "whole", "named", "labelled_rows", "mixed_rows"):
+    for name in ("rows", "each", "counts", "shared", "met", "hubs", "heads", "labelled", "whole", "named", "labelled_rows", "mixed_rows"):
         remove(docs.sparkSession, f"{root}/{name}")
     return out
 
