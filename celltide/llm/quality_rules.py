@@ -1,21 +1,25 @@
 """Weak supervision of quality rules, with DataFrame functions only.
 
 Each rule votes for or against a document, or abstains.  Votes are counted by pattern over all documents; there are
-3^rules patterns at most (2,187), whatever the number of documents.  Expectation-maximisation over these
-counts estimates how often each rule votes either way for good and for bad documents, and the share of
-good ones.  A document's posterior probability to be good, under these rates, takes the place of a filter that
-all rules must pass.
+3^rules patterns at most (59,049), whatever the number of documents.  Expectation-maximisation over these
+counts fits a mixture of good documents and of one kind of bad ones per rule: junk has one fault or another, so that a
+single kind of bad ones would stand for the commonest fault only.  For every kind each rule's rates of votes for and
+against are estimated, for good documents too, so that a rule which speaks alone against documents that are like good
+ones to all others is found to raise false alarms.  A document's posterior probability to be good takes the place of a
+filter that all rules must pass.  An abstention says nothing about quality.
+
+One rule alone can't be told from a false alarm, so each fault is looked at from two sides at least.
 
 Defined cases: null and empty texts have no words, fail the base rules, and get a posterior from the rules that vote (all may
 abstain: the prior); repeated rows are judged alike and all counted; an empty table gives an empty
-result.  Texts are judged whole.
+result; a posterior equal to the threshold keeps; extra columns are dropped, whatever their names.  Texts are judged whole.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +30,27 @@ MIN_WORDS = 50
 #: Percent of words in repeated three-word windows that fails the base rules.
 MAX_REPEAT = 50
 THRESHOLD = 0.5
-ROUNDS = 200
+ROUNDS, TOLERANCE = 1000, 1e-8
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
-#: What is asked of a rule: it votes against this share of good documents at most, and against this share of bad ones at least.
-FALSE_ALARMS, CATCHES = 0.005, 0.02
-#: The share of bad documents that no rule speaks against, though some vote.
-MISSED = 0.05
-
-#: (name, value, votes for if, votes against if); a rule that neither holds for abstains.  Each looks for a fault of its own:
-#: rules that see the same fault would outvote the others.
+#: (name, value, votes for if, votes against if); a rule that neither holds for abstains.
 RULES: list[tuple[str, str, str, str]] = [
     ("markup", "n_symbols / greatest(word_chars, 1)", "v < 0.01", "v > 0.04"),
+    ("plain_words", "n_plain / greatest(n_words, 1)", "v > 0.80", "v < 0.50"),
     ("repetition", "n_repeat_words / greatest(n_words, 1)", "v < 0.10 AND n_words >= 20", "v > 0.30"),
-    ("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", "v < 0.10 AND n_lines >= 3", "v > 0.30 AND n_lines >= 10 AND n_repeat_words < 0.1 * n_words"),
-    ("shouting", "greatest(n_upper / greatest(word_chars, 1), n_exclaims / greatest(n_words, 1))", "v < 0.15", "v > 0.40"),
+    ("variety", "n_distinct / greatest(n_words, 1)", "v > 0.30 AND n_words >= 20", "v < 0.15"),
+    ("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", "v < 0.10 AND n_lines >= 3", "v > 0.30 AND n_lines >= 3"),
+    ("capitals", "n_upper / greatest(word_chars, 1)", "v < 0.15", "v > 0.40"),
+    ("exclamation", "n_exclaims / greatest(n_words, 1)", "v < 0.05", "v > 0.30"),
     ("function_words", "n_short / greatest(n_words, 1)", "v BETWEEN 0.15 AND 0.70", "v > 0.95"),
     ("word_length", "word_chars / greatest(n_words, 1)", "v BETWEEN 3 AND 9", "v < 2 OR v > 14"),
-    ("sentences", "n_stops / greatest(n_words, 1)", "v BETWEEN 0.02 AND 0.25 AND n_repeat_words < 0.1 * n_words", "v > 0.8 AND n_exclaims < 0.1 * n_words"),
+    ("sentences", "n_stops / greatest(n_words, 1)", "v BETWEEN 0.02 AND 0.25", "v < 0.005 OR v > 0.50"),
 ]
 
+#: A word of letters, with hyphens and apostrophes inside and at most one mark at each end.
+PLAIN = r"""(?<![^\x20\x09-\x0D])["'(]?\p{L}[\p{L}\p{M}'\u2019-]*[.,;:!?]?["')]?(?![^\x20\x09-\x0D])"""
+
+
 def _bind(value: Column, use) -> Column:
     """Use a value more than once while it is worked out once."""
     return F.transform(F.array(value), use)[0]
@@ -90,6 +95,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         count(r"\p{Lu}").alias("n_upper"),
         count("!").alias("n_exclaims"),
         count(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,3}(?![^\x20\x09-\x0D])").alias("n_short"),
+        count(PLAIN).alias("n_plain"),
         count(r"[.?!]+(?=[\x20\x09-\x0D]|$)").alias("n_stops"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
     )
@@ -105,61 +111,60 @@ def votes(rows: DataFrame, rules=RULES) -> DataFrame:
 
 @dataclass(frozen=True)
 class Accuracies:
-    """The share of good documents, and per rule the chance of each vote for bad and for good ones."""
+    """Of each kind of documents (good ones first, then a kind of bad ones per rule) its share, and of each rule the chances
+    of a vote against and of one for, where it votes: ``rates[kind][rule]`` is (against, for)."""
 
-    prior: float
-    rates: dict[str, tuple[tuple[float, float, float], tuple[float, float, float]]]
+    names: tuple[str, ...]
+    shares: tuple[float, ...]
+    rates: tuple[tuple[tuple[float, float], ...], ...]
+
+    @property
+    def prior(self) -> float:
+        return self.shares[0]
+
+    def accuracy(self, name: str) -> tuple[float, float]:
+        """The chance that a vote of this rule is right, about bad documents and about good ones."""
+        k = self.names.index(name)
+        bad = sum(self.shares[1:])
+        return sum(s * r[k][BAD] for s, r in zip(self.shares[1:], self.rates[1:])) / bad, self.rates[0][k][GOOD]
 
     def posterior(self) -> Column:
         """The probability that a document is good, from its vote columns."""
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        votes = [F.col(f"v_{name}") for name in self.rates]
-        for v, (bad, good) in zip(votes, self.rates.values()):
-            odds = odds + F.when(v == BAD, math.log(good[BAD] / bad[BAD])).otherwise(0.0)
-        odds = odds - F.when((F.least(*votes) != BAD) & (F.least(*votes) == GOOD), math.log(MISSED)).otherwise(0.0)
-        return 1 / (1 + F.exp(-odds))
+        chances = []
+        for share, rates in zip(self.shares, self.rates):
+            log = F.lit(float(np.log(share)))
+            for name, (against, in_favour) in zip(self.names, rates):
+                v = F.col(f"v_{name}")
+                log = log + F.when(v == BAD, float(np.log(against))).when(v == GOOD, float(np.log(in_favour))).otherwise(0.0)
+            chances.append(log)
+        others = lambda logs: F.aggregate(F.transform(F.slice(logs, 2, len(chances) - 1), lambda x: F.exp(F.least(x - logs[0], F.lit(700.0)))), F.lit(0.0), lambda a, x: a + x)
+        return _bind(F.array(*chances), lambda logs: 1 / (1 + others(logs)))
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = ROUNDS) -> Accuracies:
-    """Expectation-maximisation over counted vote patterns.
+    """Expectation-maximisation over counted vote patterns, from the share of votes that are for a document.
 
-    Rules watch for separate faults: a bad document has one, most rules find nothing to say against it, and their votes for it
-    prove little.  So in a bad document each vote against has its rule's rate, and votes for count as one: that no rule speaks
-    against it has the chance MISSED.  In a good one each vote against is a false alarm, and votes for are what is expected.
-    Rates are held to what is asked of rules (FALSE_ALARMS and CATCHES).  The first beliefs are that a vote against is right.
+    What speaks against it is first dealt out among the kinds of the rules that vote so.  Shares and rates are smoothed by one
+    document for each outcome; nothing else bounds them.
     """
-    if not patterns:
-        return Accuracies(0.5, {n: ((0.3, 0.7, 0.0), (FALSE_ALARMS, 1 - FALSE_ALARMS, 0.0)) for n in names})
-    belief = [0.9 if BAD not in pattern and GOOD in pattern else 0.5 if BAD not in pattern else 0.1 ** pattern.count(BAD) for pattern, _ in patterns]
-    prior, rates = 0.5, {}
+    n = len(names)
+    seen = np.array([p for p, _ in patterns], dtype=int).reshape(-1, n)
+    count = np.array([c for _, c in patterns], dtype=float)
+    against, in_favour = seen == BAD, seen == GOOD
+    good = (in_favour.sum(1) + 1) / (against.sum(1) + in_favour.sum(1) + 2)
+    of_rule = against + 1e-3
+    belief = np.column_stack([good, (1 - good)[:, None] * of_rule / of_rule.sum(1, keepdims=True)])
     for _ in range(rounds):
-        total = sum(c for _, c in patterns)
-        before = prior
-        prior = min(0.999, max(0.001, (sum(b * c for b, (_, c) in zip(belief, patterns)) + 1) / (total + 2)))
-        against = {True: [], False: []}
-        for k in range(len(names)):
-            for of_good, found in against.items():
-                got = [0.01, 0.99] if of_good else [0.3, 0.7]
-                for b, (pattern, c) in zip(belief, patterns):
-                    if pattern[k] != ABSTAIN:
-                        got[pattern[k]] += c * (b if of_good else 1 - b)
-                share = got[BAD] / sum(got)
-                found.append(min(share, FALSE_ALARMS) if of_good else max(share, CATCHES))
-        rates = {n: tuple((against[g][k], 1 - against[g][k], 0.0) for g in (False, True)) for k, n in enumerate(names)}
-        belief = [_belief(pattern, prior, rates, names) for pattern, _ in patterns]
-        if abs(prior - before) < 1e-9:
+        weight = belief * count[:, None]
+        shares = (weight.sum(0) + 1) / (count.sum() + n + 1)
+        bad, fine = weight.T @ against + 1, weight.T @ in_favour + 1
+        rate = bad / (bad + fine)
+        log = np.log(shares) + against @ np.log(rate).T + in_favour @ np.log(1 - rate).T
+        chance = np.exp(log - log.max(1, keepdims=True, initial=-np.inf))
+        before, belief = belief, chance / chance.sum(1, keepdims=True)
+        if np.abs(belief - before).max(initial=0) < TOLERANCE:
             break
-    return Accuracies(prior, rates)
-
-
-def _belief(pattern: tuple[int, ...], prior: float, rates: dict, names: list[str]) -> float:
-    odds = math.log(prior / (1 - prior))
-    for k, name in enumerate(names):
-        if pattern[k] == BAD:
-            odds += math.log(rates[name][1][BAD] / rates[name][0][BAD])
-    if BAD not in pattern and GOOD in pattern:
-        odds -= math.log(MISSED)
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+    return Accuracies(tuple(names), tuple(map(float, shares)), tuple(tuple((float(r), float(1 - r)) for r in kind) for kind in rate))
 
 
 def base_failed() -> Column:

@@ -1,6 +1,10 @@
 import collections
+import math
+import random
 import re
 
+import pytest
+
 from celltide.llm import quality_rules as q
 
 SCHEMA = "doc_id long, text string"
@@ -42,16 +46,70 @@ def test_table(spark, sf_dir):
     assert sum(int(a) == b for a, b in judged) >= 0.9 * len(judged)
 
 
-def test_estimates_of_separate_faults():
-    """Three faults that each one rule sees, at a half, a third and a sixth of the bad documents."""
+def plain_em(patterns, n, rounds):
+    """The same mixture, a document and a rule at a time."""
+    kinds = range(n + 1)
+    docs = [p for p, c in patterns for _ in range(c)]
+    belief = []
+    for p in docs:
+        good = (p.count(1) + 1) / (p.count(1) + p.count(0) + 2)
+        w = [(v == 0) + 1e-3 for v in p]
+        belief.append([good] + [(1 - good) * x / sum(w) for x in w])
+    for _ in range(rounds):
+        shares = [(sum(b[k] for b in belief) + 1) / (len(docs) + n + 1) for k in kinds]
+        rate = [[0.0] * n for _ in kinds]
+        for k in kinds:
+            for j in range(n):
+                bad = 1 + sum(b[k] for b, p in zip(belief, docs) if p[j] == 0)
+                fine = 1 + sum(b[k] for b, p in zip(belief, docs) if p[j] == 1)
+                rate[k][j] = bad / (bad + fine)
+        belief = []
+        for p in docs:
+            chance = [math.prod([shares[k]] + [rate[k][j] if v == 0 else 1 - rate[k][j] for j, v in enumerate(p) if v != 2]) for k in kinds]
+            belief.append([c / sum(chance) for c in chance])
+    return shares, rate, dict(zip(docs, (b[0] for b in belief)))
+
+
+def drawn(seed, size=4000):
+    """Votes of five rules: a and b see one fault, c and d another; e speaks against a tenth of all documents, for no reason."""
+    rng = random.Random(seed)
     counts = collections.Counter()
-    for i in range(4800):
-        fault = None if i % 4 else "aaabbc"[i // 4 % 6]
-        counts[tuple(int(fault != n) for n in "abc")] += 1
-    found = q.estimate(sorted(counts.items()), list("abc"))
-    catches = {n: bad[0] for n, (bad, good) in found.rates.items()}
-    assert catches["a"] > catches["b"] > catches["c"] > 0.1 and abs(found.prior - 0.75) < 0.05
-    assert all((q._belief(p, found.prior, found.rates, list("abc")) > 0.5) == (0 not in p) for p in counts)
+    truth = {}
+    for _ in range(size):
+        fault = rng.choices([None, "ab", "cd"], [0.8, 0.12, 0.08])[0]
+        p = tuple(2 if rng.random() < 0.1 else int(not rng.random() < (0.1 if n == "e" else 0.9 if fault and n in fault else 0.01)) for n in "abcde")
+        counts[p] += 1
+        truth.setdefault(p, collections.Counter())[fault is None] += 1
+    return sorted(counts.items()), truth
+
+
+def test_estimate_equals_plain_em():
+    patterns, _ = drawn(1, 300)
+    found = q.estimate(patterns, list("abcde"), rounds=7)
+    shares, rate, _ = plain_em(patterns, 5, 7)
+    assert found.shares == pytest.approx(shares) and [[r[0] for r in kind] for kind in found.rates] == [pytest.approx(r) for r in rate]
+
+
+def test_rates_are_estimated_and_replace_all_must_pass(spark):
+    """The posterior by Spark equals the plain product of chances; a needless vote against is overruled, faults are not."""
+    patterns, truth = drawn(2)
+    found = q.estimate(patterns, list("abcde"))
+    assert abs(found.prior - 0.8) < 0.04
+    assert abs(found.rates[0][4][0] - 0.1) < 0.03 and found.accuracy("a")[1] > 0.97 and found.accuracy("a")[0] > found.accuracy("e")[0] + 0.2
+    df = spark.createDataFrame([p for p, _ in patterns], "v_a int, v_b int, v_c int, v_d int, v_e int")
+    got = {tuple(r)[:5]: r.post for r in df.withColumn("post", found.posterior()).collect()}
+    for p, _ in patterns:
+        chance = [math.prod([s] + [r[j][v] for j, v in enumerate(p) if v != 2]) for s, r in zip(found.shares, found.rates)]
+        assert got[p] == pytest.approx(chance[0] / sum(chance), rel=1e-9)
+    assert got[(1, 1, 1, 1, 0)] > 0.9 and got[(0, 0, 1, 1, 1)] < 0.1 and got[(1, 1, 0, 0, 1)] < 0.1
+    right = sum(t[got[p] >= 0.5] for p, t in truth.items())
+    all_must_pass = sum(t[0 not in p] for p, t in truth.items())
+    best = sum(max(t.values()) for t in truth.values())  # of any verdict by votes, with the truth known
+    assert right >= 0.98 * best and right > all_must_pass + 200
+
+
+def test_estimate_without_documents():
+    assert 0 < q.estimate([], list("ab")).prior < 1
 
 
 def test_labelled_documents(spark):
