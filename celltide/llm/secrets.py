@@ -1,9 +1,10 @@
 """Secret scans over a trigram inverted index, with DataFrame functions only.
 
 From each rule's regular expression a Boolean query is derived: the trigrams of lower-cased text that any match must
-have.  The index holds the postings (trigram, document) of all trigrams that some query asks for.  Postings are
-intersected per document, each query is put to what meets there, and only candidates are searched with the
-expression itself.  A rule without mandatory trigrams is searched for in every document.
+have, as alternatives of trigrams that occur together.  The index holds the postings (trigram, document) of all trigrams
+that some query asks for, sorted by trigram.  The postings of each alternative's trigrams are looked up and intersected, and only
+documents in such an intersection are searched with the expression itself.  A rule without mandatory trigrams is searched
+for in every document.
 
 Spans are found per rule, leftmost and without overlap, in code points with the end exclusive.  Base rules drop matches whose
 value is too short, after they took their place.
@@ -60,6 +61,8 @@ RULES: tuple[Rule, ...] = (
 #: Strings that a part of an expression may stand for before they are only asked for by their trigrams.
 MAX_EXACT = 24
 ALL = ("all",)
+#: Alternatives of a query, and trigrams of an alternative (bits of a long).
+MAX_ALTERNATIVES, MAX_TOGETHER = 256, 62
 
 
 def _and(a: tuple, b: tuple) -> tuple:
@@ -150,11 +153,25 @@ def trigrams_of(query: tuple) -> set[str]:
     return set().union(*(trigrams_of(q) for q in query[1:])) if query[0] in ("and", "or") else set()
 
 
-def _asked(query: tuple, trigrams: Column) -> Column:
+def alternatives(query: tuple) -> list[frozenset[str]]:
+    """The query as sets of trigrams, one of which a match has whole; an empty set asks for nothing.
+
+    Where alternatives would multiply to over MAX_ALTERNATIVES, one side of the conjunction is left out, and of over MAX_TOGETHER
+    trigrams the first are asked for: that lets more documents through to the search, and never fewer.
+    """
+    if query == ALL:
+        return [frozenset()]
     if query[0] == "has":
-        return F.array_contains(trigrams, query[1])
-    a, b = (_asked(q, trigrams) for q in query[1:])
-    return a & b if query[0] == "and" else a | b
+        return [frozenset([query[1]])]
+    a, b = (alternatives(q) for q in query[1:])
+    if query[0] == "or":
+        found = set(a) | set(b)
+    elif len(a) * len(b) > MAX_ALTERNATIVES:
+        found = set(min(a, b, key=len))
+    else:
+        found = {x | y for x in a for y in b}
+    least = [x for x in found if not any(y < x for y in found)]
+    return sorted({frozenset(sorted(x)[:MAX_TOGETHER]) for x in least}, key=sorted)
 
 
 # ---------------------------------------------------------------- index, candidates, spans
@@ -169,12 +186,20 @@ def postings(rows: DataFrame, rules=RULES) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """(id, kinds): the rules whose queries a document's postings pass."""
-    asked = [(r.kind, q) for r in rules if (q := trigram_query(r.pattern)) != ALL]
-    # only postings of trigrams that some query asks for are there, so a document's set is small
-    met = index.groupBy("id").agg(F.collect_set("trigram").alias("met"))
-    kinds = F.array_compact(F.array(*[F.when(_asked(q, F.col("met")), F.lit(k)) for k, q in asked])) if asked else F.expr("cast(array() AS array<string>)")
-    return met.select("id", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    """(id, kinds): the rules for which a document is in the intersection of some alternative's postings.
+
+    Each trigram's postings are met with the alternatives that ask for it (a table whose size depends on the rules only), and a
+    document has a whole alternative once all its bits are there, however often an id is repeated.
+    """
+    asked = [(r.kind, n, trigram, 1 << bit, (1 << len(x)) - 1) for r in rules for n, x in enumerate(alternatives(trigram_query(r.pattern))) for bit, trigram in enumerate(sorted(x))]
+    if not asked:
+        return index.select("id", F.expr("cast(array() AS array<string>)").alias("kinds")).where("false")
+    names = ("kind", "n", "asked", "bit", "whole")
+    kept = [F.struct(*[F.lit(v).cast("long" if type(v) is int else "string").alias(c) for c, v in zip(names, row)]) for row in asked]
+    wanted = index.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*kept)))
+    found = index.where(F.col("trigram").isin(sorted({a[2] for a in asked})))
+    met = found.join(F.broadcast(wanted), F.col("trigram") == F.col("asked")).groupBy("id", "kind", "n", "whole").agg(F.bit_or("bit").alias("bits"))
+    return met.where("bits = whole").groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
 _NONE = "cast(array() AS array<struct<start: bigint, rank: int, end: bigint, kind: string>>)"

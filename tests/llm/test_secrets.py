@@ -55,20 +55,59 @@ def test_queries_of_expressions():
 def test_every_match_passes_its_query():
     """The query is a necessary condition on texts that match."""
 
-    def holds(query, text):
-        if query == secrets.ALL:
-            return True
-        if query[0] == "has":
-            return query[1] in text
-        a, b = (holds(x, text) for x in query[1:])
-        return a and b if query[0] == "and" else a or b
-
     for rule in secrets.RULES:
         for t in filter(None, TEXTS):
             if re.search(rule.pattern, t, re.ASCII):
                 assert holds(secrets.trigram_query(rule.pattern), t.lower())
 
 
+def holds(query, trigrams):
+    if query == secrets.ALL:
+        return True
+    if query[0] == "has":
+        return query[1] in trigrams
+    a, b = (holds(x, trigrams) for x in query[1:])
+    return a and b if query[0] == "and" else a or b
+
+
+def test_alternatives_say_what_the_query_says():
+    rng = random.Random(5)
+    for pattern in [r.pattern for r in secrets.RULES] + ["(foo|bar)baz+(quux|abcd)", "abc"]:
+        query = secrets.trigram_query(pattern)
+        ways, all_of = secrets.alternatives(query), sorted(secrets.trigrams_of(query))
+        for _ in range(200):
+            have = {t for t in all_of if rng.random() < 0.9}
+            assert any(w <= have for w in ways) == holds(query, have)
+    many = secrets.trigram_query("".join(f"(ab{i}c|cd{i}e)x+" for i in range(12)))
+    assert len(secrets.alternatives(many)) <= secrets.MAX_ALTERNATIVES
+    assert all(holds(many, w) <= any(a <= w for a in secrets.alternatives(many)) for w in [secrets.trigrams_of(many)])
+    assert len(secrets.alternatives(secrets.trigram_query("".join(map(chr, range(0x4E00, 0x4E80)))))[0]) == secrets.MAX_TOGETHER
+
+
+def test_candidates_are_intersections_of_postings(spark, tmp_path):
+    """Against lists by trigram, intersected as sets; of repeated ids the union; one rule alone reads its own postings."""
+    texts = list(filter(None, TEXTS)) + ["pas ass ssw swo wor", "ord", "aki", "kia", "aki kia"]
+    rows = [(7 if t in ("aki", "kia") else i, t) for i, t in enumerate(texts)]
+    index = secrets.postings(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("doc_id", "id"))
+    lists = {}
+    for i, t in rows:
+        for g in {t.lower()[k : k + 3] for k in range(len(t) - 2)}:
+            lists.setdefault(g, set()).add(i)
+    want = {}
+    for rule in secrets.RULES:
+        query = secrets.trigram_query(rule.pattern)
+        for i in {i for i, _ in rows} if query != secrets.ALL else ():
+            if holds(query, {g for g, ids in lists.items() if i in ids}):
+                want.setdefault(i, set()).add(rule.kind)
+    index.sortWithinPartitions("trigram").write.parquet(str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    assert {r.id: set(r.kinds) for r in secrets.candidates(index).collect()} == want and "access" in want[7]
+    alone = secrets.candidates(index, [r for r in secrets.RULES if r.kind == "access"])
+    assert {r.id for r in alone.collect()} == {i for i, k in want.items() if "access" in k}
+    assert "In(trigram, [aki,kia])" in alone._jdf.queryExecution().toString()
+    assert secrets.candidates(index, [secrets.Rule("hex", "[0-9a-f]+")]).collect() == []
+
+
 def test_redaction(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     df = secrets.scan(spark.createDataFrame(rows, SCHEMA))
