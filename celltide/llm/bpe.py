@@ -7,7 +7,10 @@ so each word has one path.  Since all arcs with one label lead to one state, a s
 away from the state it was copied from; states form a tree, and "has this arc gone on the way from the root" is a
 binary search in the tree's pre-order.
 
-A word is encoded by going over its positions and keeping the one arc by which a path gets there.
+A word is encoded by following arcs from its first position, the longest first: the transitions of a state are the arcs by
+label less those cut on the way from the root.  As a prefix of a word has one path only, a position from which no arc goes on is
+given up for good.  A dense table would have a cell for each pair of the about 49,000 states and labels of the vocabulary used here;
+what is kept instead is, by label, the stretches of states that lack it, and the transitions that were looked up.
 Decoding emits the labels of the arcs.
 
 Text is treated as the vocabulary file says (NFC, blanks, lower case, the split pattern, bytes as characters, word ends),
