@@ -393,5 +393,16 @@ def _whole_set_sql() -> str:
 
 
 ORACLE_SQL["grid_metrics"] = _whole_set_sql()
+#: Boxes of cells: columns halve rounded down, rows rounded up from the top; empty quarters go.
+ORACLE_SQL["quadtree"] = f"""WITH RECURSIVE {_PTS}, c AS (SELECT xi, yi, count(*) AS n FROM pts GROUP BY xi, yi), t AS (
+  SELECT 0 AS x1, (maxx / res)::INT AS x2, 0 AS y1, (maxy / res)::INT AS y2, (SELECT count(*) FROM pts)::BIGINT AS n, 0::BIGINT AS before FROM g
+  UNION ALL
+  SELECT q.x1, q.x2, q.y1, q.y2, sum(c.n)::BIGINT, q.before FROM (
+    SELECT CASE WHEN h.i = 0 THEN x1 ELSE x1 + (x2 - x1) // 2 END AS x1, CASE WHEN h.i = 0 THEN x1 + (x2 - x1) // 2 ELSE x2 END AS x2,
+      CASE WHEN v.i = 0 THEN y1 ELSE y1 + (y2 - y1 + 1) // 2 END AS y1, CASE WHEN v.i = 0 THEN y1 + (y2 - y1 + 1) // 2 ELSE y2 END AS y2, n AS before
+    FROM t, (VALUES (0), (1)) AS h(i), (VALUES (0), (1)) AS v(i) WHERE least(x2 - x1, y2 - y1) >= 2 AND n > 2000 AND n <> before
+  ) q JOIN c ON c.xi >= q.x1 AND c.xi < q.x2 AND c.yi >= q.y1 AND c.yi < q.y2 GROUP BY ALL
+)
+SELECT x1, x2, y1, y2, ((x2 - x1) * (y2 - y1))::INT AS cells FROM t WHERE least(x2 - x1, y2 - y1) < 2 OR n <= 2000 OR n = before"""
 
 
