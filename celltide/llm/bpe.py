@@ -34,11 +34,11 @@ import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick
+from .shared import pick, ready
 
-#: Words whose ids a Python worker remembers, twice as many at most, and arcs that it has looked up.
-CACHE_WORDS = 120_000
-CACHE_ARCS = 1 << 17
+#: Words whose ids a Python worker remembers, twice as many at most, and arcs that it has looked up: some 30 MB.
+CACHE_WORDS = 60_000
+CACHE_ARCS = 1 << 16
 RESULT = "ids binary, decoded string"
 
 #: Texts of these characters only (Latin letters with accents, common punctuation and currency signs) are split here, by
@@ -203,7 +203,8 @@ class Tokenizer:
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        whole = tokenizers.Tokenizer.from_str(content.decode())
+        # the library's own vocabulary and merges are not needed
+        whole = tokenizers.Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": model | {"vocab": {}, "merges": []}}))
         self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
 
     def _ids_of(self, piece: str) -> bytes:
@@ -255,16 +256,9 @@ class Tokenizer:
         return " ".join([labels[i] for i in numbers])
 
 
-_READY: dict[int, Tokenizer] = {}
-
-
 def _tokenizer(content: bytes) -> Tokenizer:
     """The compiled vocabulary, once per Python worker."""
-    key = hash(content)
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Tokenizer(content)
-    return _READY[key]
+    return ready(("bpe", hash(content)), lambda: Tokenizer(content))
 
 
 def encode_column(text: Column, content: bytes) -> Column:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick, remove, scratch_root, written
+from .shared import pick, ready, remove, scratch_root, written
 
 WINDOW = 8
 #: Test strings that one pass takes (about 700 bytes each in a Python worker); a larger benchmark is searched in several passes
@@ -89,16 +89,8 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-_READY: dict[tuple, list[WuManber]] = {}
-
-
 def _machines(items, window: int) -> list[WuManber]:
-    key = (window, hash(tuple(items)))
-    if key not in _READY:
-        if len(_READY) > 1:
-            _READY.clear()
-        _READY[key] = compile_items(items, window)
-    return _READY[key]
+    return ready(("decontam", window, hash(tuple(items))), lambda: compile_items(items, window))
 
 
 def search_text(text: str | None, machines: list[WuManber], spans=(), items=()) -> tuple[int, list, list]:

@@ -1,14 +1,17 @@
-"""What the corpus operators share: column picking, the shared scratch folder, joins on hot keys."""
+"""What the corpus operators share: column picking, the shared scratch folder, joins on hot keys, models in Python workers."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -110,11 +113,45 @@ def map_large(df: DataFrame, function, schema: str, rows: int = LARGE_ROWS) -> D
 
         for out in function(frames()):
             yield from pa.Table.from_pandas(out, schema=kind, preserve_index=False).to_batches()
+        give_back()
 
     kind = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task with what its largest batch took otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+#: What is compiled in this process, and the task that asked for it last.
+_READY: dict[Hashable, tuple[object, int | None]] = {}
+
+
+def ready(key: Hashable, make: Callable[[], object]):
+    """A compiled model, made once per Python worker.
+
+    Spark hands a worker from operator to operator, in which their models would add up: what no one asked for in this task goes
+    before another one is made.
+    """
+    context = TaskContext.get()
+    task = context.taskAttemptId() if context else None
+    if key not in _READY:
+        for other in [k for k, (_, at) in _READY.items() if at is None or at != task]:
+            del _READY[other]
+        give_back()
+        _READY[key] = make(), task
+        give_back()
+    elif _READY[key][1] != task:
+        _READY[key] = _READY[key][0], task
+    return _READY[key][0]
+
+
 def join_by_key(df: DataFrame, key: str, groups: DataFrame, values: list[str], size: str, total: int, spread: str) -> DataFrame:
     """Left join ``groups`` (one row per key, ``size`` rows of ``df`` each) to ``df``, whatever the skew.
 

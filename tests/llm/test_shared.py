@@ -45,3 +45,26 @@ def test_learning_rows(spark):
 
     rows = spark.range(200).select("id", shared.is_learning(F.col("id"), 4, 2).alias("l")).collect()
     assert all(r.l == (zlib.crc32(str(r.id).encode()) % 4 != 2) for r in rows)
+
+
+def test_workers_keep_the_models_of_one_operator(spark):
+    """A worker that encoded has no vocabulary left once it is asked for languages."""
+    import gc
+
+    import pandas as pd
+    import public_tokenizers
+
+    from celltide.llm import bpe, langid
+
+    docs = spark.range(8).repartition(8).select("id", F.lit("some words").alias("text"))
+    assert bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), doc_id="id").count() == 8
+    model = langid.LanguageModel({"a": b"some words", "b": b"other ones"})
+
+    @F.pandas_udf("int")
+    def vocabularies(texts: pd.Series) -> pd.Series:
+        langid._coders(model.contents, model.level)
+        gc.collect()
+        return pd.Series([sum(isinstance(x, bpe.Tokenizer) for x in gc.get_objects())] * len(texts))
+
+    bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), doc_id="id").select("ids").collect()
+    assert {r.n for r in docs.select(vocabularies("text").alias("n")).collect()} == {0}
